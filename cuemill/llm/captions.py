@@ -17,7 +17,7 @@ _SOUND = {"".join(word.split()).casefold() for words in SOUNDS.values() for word
 _FILLER = {word for words in FILLERS.values() for word in words}
 #: Fillers with each repeated letter written once: "hmmm", "eeh" and "uuh" are fillers too.
 _SQUEEZED = {re.sub(r"(.)\1+", r"\1", word) for word in _FILLER if len(word) > 1}
-_UNSPACED_FILLER = regex.compile("|".join(sorted((w for code in ("zh", "ja", "th") for w in FILLERS[code]), key=len, reverse=True)))
+_UNSPACED_FILLER = regex.compile("|".join(sorted((w for code in ("zh", "ja") for w in FILLERS[code]), key=len, reverse=True)))
 
 _VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>]*)>")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<\d[\d:.]*>|\{\\[^{}]*\}")
@@ -62,8 +62,7 @@ def _name_like(text: str, rest: str) -> tuple[bool, bool]:
         words = words[1:]
     if not words:
         return False, False
-    cased = [w for w in words if w.casefold() != w.upper().casefold() or w.lower() != w.upper()]
-    if not cased:
+    if not any(w.lower() != w.upper() for w in words):
         return len(words) <= 2 and len("".join(words)) <= 16, True
     if any(not w[0].isupper() for w in words if w.lower() != w.upper()):
         return False, False
@@ -89,7 +88,7 @@ def parse(text: str | None) -> Caption:
             label = voice.group(1).strip() or None
             text = text[: voice.start()] + text[voice.end() :]
         text = _MARKUP.sub("", text)
-    text = text.strip().lstrip("﻿​")
+    text = text.strip().lstrip("\ufeff\u200b")
     for _ in range(4):
         match = None
         if text[:1] in "[【〔-–—>" and text:
@@ -165,14 +164,13 @@ def tokens(text: str) -> list[str]:
     for word in _TOKEN.findall(text.casefold()):
         if word in _FILLER:
             continue
-        if len(word) > 1 and word[0] < "฀":
-            if len(word) <= 7 and re.sub(r"(.)\1+", r"\1", word) in _SQUEEZED and word[-1:] not in "0123456789":
+        if word[0] < "\u0e00":
+            if 1 < len(word) <= 7 and not word[-1].isdigit() and re.sub(r"(.)\1+", r"\1", word) in _SQUEEZED:
+                continue
+        elif word[0] >= "\u2e80":
+            word = _UNSPACED_FILLER.sub("", word)
+            if not word:
                 continue
-        elif word[0] >= "฀" or len(word) > 1:
-            if "฀" <= word[0] <= "๿" or word[0] >= "⺀":
-                word = _UNSPACED_FILLER.sub("", word)
-                if not word:
-                    continue
         found.append(word)
     return found
 
@@ -191,4 +189,4 @@ def same_words_key(text: str) -> str:
     words = tokens(text)
     kept = [word for i, word in enumerate(words) if not i or word != words[i - 1] or word[0].isdigit()]
     joined = " ".join(kept)
-    return _DIGITS_APART.sub("␟", joined).replace(" ", "")
+    return _DIGITS_APART.sub("\x1f", joined).replace(" ", "")
