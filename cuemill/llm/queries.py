@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuemill.llm.repeated_cues import repeated_runs
+from cuemill.llm.speaker_turns import captions_of, speaker_turns
+from cuemill.llm.splitting import longest_unbroken_over, split_texts
 from cuemill.session import table
 
 
+def size_limit(spark: SparkSession, folder: str, item_type: str) -> tuple[int, int]:
+    """max_size and overlap of a row of ``size_limits``."""
+    row = table(spark, folder, "size_limits").where(F.col("item_type") == item_type).select("max_size", "overlap").first()
+    return int(row[0]), int(row[1] or 0)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of two or more cues that say the same."""
     return repeated_runs(table(spark, folder, "cues"), smallest=2).select("file_id", "first_cue", "last_cue")
@@ -20,9 +29,47 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_runs(table(spark, folder, "cues"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Speaker turns of files (by cue_index) and transcripts (by array position)."""
+    return p5_turns(spark, folder).select("item_type", "item_id", "first_no", "last_no", "speaker")
+
+
+def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Speaker turns with the number of their captions."""
+    captions = captions_of(table(spark, folder, "cues"), table(spark, folder, "transcripts"))
+    return speaker_turns(captions, table(spark, folder, "speakers"))
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pieces of every oversized caption."""
+    max_size, overlap = size_limit(spark, folder, "cue")
+    cues = table(spark, folder, "cues").select("cue_id", "content")
+    long = cues.where(F.length("content") > max_size).groupBy("cue_id").agg(F.min("content").alias("content"))
+    return split_texts(long, "content", max_size=max_size, overlap=overlap)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Oversized captions and whether one of their cuts is forced.
+
+    The pieces say where a cut has no boundary; as a piece's own text is shorter than the limit by
+    the overlap, a check on the whole caption follows for unbroken stretches between the two sizes.
+    """
+    max_size, overlap = size_limit(spark, folder, "cue")
+    cues = table(spark, folder, "cues").select("cue_id", "content")
+    long = cues.where(F.length("content") > max_size).groupBy("cue_id").agg(F.min("content").alias("content"))
+    marked = long.withColumn("unbroken", longest_unbroken_over(F.col("content"), max_size))
+    pieces = split_texts(marked, "content", max_size=max_size, overlap=overlap)
+    forced = F.max(F.col("forced") & F.col("unbroken"))
+    return pieces.groupBy("cue_id").agg(F.when(forced, "forced").otherwise("natural").alias("cut"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p5_found": p5_found,
+    "p5_turns": p5_turns,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
 }
 
 ORACLE: dict[str, str] = {}
