@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm.encoding import encode_texts
+from cuemill.llm.packing import pack_documents
 from cuemill.llm.repeated_cues import repeated_runs
 from cuemill.llm.speaker_turns import captions_of, speaker_turns
 from cuemill.llm.splitting import longest_unbroken_over, split_texts
+from cuemill.llm.text_quality import quality_statistics, text_types
 from cuemill.session import table
 
 
@@ -63,6 +66,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("cue_id").agg(F.when(forced, "forced").otherwise("natural").alias("cut"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document; null and empty texts have none."""
+    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of the given capacity."""
+    capacity, _ = size_limit(spark, folder, "container")
+    return pack_documents(table(spark, folder, "documents"), "doc_id", "text", capacity=capacity)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that aren't natural prose."""
+    return p9_types(spark, folder).where("text_class <> 'prose'").select("doc_id", "text_class")
+
+
+def p9_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The posterior text type of every document that isn't blank."""
+    return text_types(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Text quality statistics of every document that isn't blank."""
+    return quality_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -70,6 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_turns": p5_turns,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_ids": p7_ids,
+    "p8_packing": p8_packing,
+    "p9_found": p9_found,
+    "p9_types": p9_types,
+    "p9_statistics": p9_statistics,
 }
 
 ORACLE: dict[str, str] = {}
