@@ -16,7 +16,9 @@ from cuemill.llm.lexicon import FILLERS, SOUNDS, SPEAKER_WORDS, TITLES
 _SOUND = {"".join(word.split()).casefold() for words in SOUNDS.values() for word in words}
 _FILLER = {word for words in FILLERS.values() for word in words}
 #: Fillers with each repeated letter written once: "hmmm", "eeh" and "uuh" are fillers too.
+_REPEATED = re.compile(r"(.)\1+")
 _SQUEEZED = {re.sub(r"(.)\1+", r"\1", word) for word in _FILLER if len(word) > 1}
+_STARTS = {word[0] for word in _FILLER}
 _UNSPACED_FILLER = regex.compile("|".join(sorted((w for code in ("zh", "ja") for w in FILLERS[code]), key=len, reverse=True)))
 
 _VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>]*)>")
@@ -156,18 +158,19 @@ def parse(text: str | None) -> Caption:
     return Caption(label, text, tuple(sounds), bare)
 
 
+def _is_filler(word: str) -> bool:
+    return word in _FILLER or (1 < len(word) <= 7 and word[0] in _STARTS and not word[-1].isdigit() and _REPEATED.sub(r"\1", word) in _SQUEEZED)
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case words without fillers; width and compatibility forms are made equal."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     found = []
     for word in _TOKEN.findall(text.casefold()):
-        if word in _FILLER:
+        if word[0] in _STARTS and _is_filler(word):
             continue
-        if word[0] < "\u0e00":
-            if 1 < len(word) <= 7 and not word[-1].isdigit() and re.sub(r"(.)\1+", r"\1", word) in _SQUEEZED:
-                continue
-        elif word[0] >= "\u2e80":
+        if word[0] >= "\u2e80":
             word = _UNSPACED_FILLER.sub("", word)
             if not word:
                 continue
@@ -177,7 +180,11 @@ def tokens(text: str) -> list[str]:
 
 def has_words(text: str) -> bool:
     """Whether anything but fillers is said in a caption's remaining text."""
-    return bool(tokens(text))
+    for match in _TOKEN.finditer(text):
+        word = match.group().casefold()
+        if not (word[0] in _STARTS and _is_filler(word)) and (word[0] < "\u2e80" or _UNSPACED_FILLER.sub("", word)):
+            return True
+    return False
 
 
 def same_words_key(text: str) -> str:
