@@ -18,11 +18,21 @@ def pieces_pattern(size: int) -> str:
     though not between a letter and its combining marks unless there is no other place.
     """
     half = max(1, size // 2)
-    cut = r"(?!\p{M})"
-    rest = rf"(?s:.{{1,{size}}})\z"
-    strong = [rf"(?s:.{{{half},{size}}})(?<=\n\n){cut}", rf"(?s:.{{{half},{size}}})(?<=[.!?…。！？؟।۔][\"'”’»」』）)\]]{{0,3}}\s{{1,3}}|[。！？][”’」』）]{{0,3}}){cut}", rf"(?s:.{{{half},{size}}})(?<=[,;:，；：、،؛]\s{{0,2}}){cut}"]
-    weak = [rf"(?s:.{{1,{size}}})(?<=\s){cut}", rf"(?s:.{{1,{size}}})(?<=\p{{P}}){cut}", rf"(?s:.{{1,{size}}}){cut}", rf"(?s:.{{1,{size}}})"]
-    return "(?U)" + "|".join([rest, *strong, *weak])
+
+    def upto(least: int, ending: str, longest: int) -> str:
+        return rf"(?s:.{{{max(0, least - longest)},{max(0, size - longest)}}}){ending}"
+
+    alternatives = [
+        rf"(?s:.{{1,{size}}})\z",
+        upto(half, r"\n\n", 2),
+        upto(half, r"(?:[.!?…؟।۔][\"'”’»」』）)\]]{0,3}\s{1,2}|[。！？][”’」』）]{0,5})", 6),
+        upto(half, r"[,;:，；：、،؛]\s{0,2}", 3),
+        upto(1, r"\s", 1),
+        upto(1, r"\p{P}", 1),
+        rf"(?s:.{{1,{size}}})(?!\p{{M}})",
+        rf"(?s:.{{1,{size}}})",
+    ]
+    return "(?U)" + "|".join(alternatives[:1] * (size >= 1) + (alternatives[1:4] if size >= 16 else []) + alternatives[4:])
 
 
 def _natural(text: Column) -> Column:
