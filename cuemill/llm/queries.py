@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.llm.encoding import encode_texts
+from cuemill.llm.languages import foreign_parts, item_parts, label_cases, main_languages, train_on
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.repeated_cues import repeated_runs
 from cuemill.llm.speaker_turns import captions_of, speaker_turns
 from cuemill.llm.splitting import longest_unbroken_over, split_texts
 from cuemill.llm.text_quality import quality_statistics, text_types
-from cuemill.session import table
+from cuemill.session import checkpoint, table
 
 
 def size_limit(spark: SparkSession, folder: str, item_type: str) -> tuple[int, int]:
@@ -32,6 +33,37 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_runs(table(spark, folder, "cues"))
 
 
+def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts, main languages and labels of all documents (without junk), files and transcripts."""
+    documents, files, transcripts = (table(spark, folder, name) for name in ("documents", "files", "transcripts"))
+    junk = text_types(documents, table(spark, folder, "common_words")).where("text_class = 'junk'").select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"))
+    model = train_on(documents)
+    parts = checkpoint(item_parts(documents, table(spark, folder, "cues"), transcripts, model).join(junk, ["item_type", "item_id"], "left_anti"))
+    labels = (
+        documents.select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label"))
+        .unionByName(files.select(F.lit("file").alias("item_type"), F.col("file_id").alias("item_id"), F.col("detected_language").alias("label")))
+        .unionByName(transcripts.select(F.lit("transcript").alias("item_type"), F.col("transcript_id").alias("item_id"), F.col("detected_language").alias("label")))
+        .groupBy("item_type", "item_id")
+        .agg(F.min("label").alias("label"))
+    )
+    return parts, main_languages(parts), labels
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing or wrong language labels (part_no -1) and parts in a foreign language."""
+    parts, mains, labels = _languages(spark, folder)
+    wrong = label_cases(mains, labels).select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"))
+    return wrong.unionByName(foreign_parts(parts, mains).select("item_type", "item_id", "part_no", "lang"))
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main language of every document, file and transcript (part_no -1) and the language of each
+    of their foreign parts, with confidence."""
+    parts, mains, _ = _languages(spark, folder)
+    main = mains.select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"), "confidence")
+    return main.unionByName(foreign_parts(parts, mains))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Speaker turns of files (by cue_index) and transcripts (by array position)."""
     return p5_turns(spark, folder).select("item_type", "item_id", "first_no", "last_no", "speaker")
@@ -47,8 +79,7 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping pieces of every oversized caption."""
     max_size, overlap = size_limit(spark, folder, "cue")
     cues = table(spark, folder, "cues").select("cue_id", "content")
-    long = cues.where(F.length("content") > max_size).groupBy("cue_id").agg(F.min("content").alias("content"))
-    return split_texts(long, "content", max_size=max_size, overlap=overlap)
+    return split_texts(cues, "content", max_size=max_size, overlap=overlap).dropDuplicates(["cue_id", "piece_no"])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,9 +89,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     the overlap, a check on the whole caption follows for unbroken stretches between the two sizes.
     """
     max_size, overlap = size_limit(spark, folder, "cue")
-    cues = table(spark, folder, "cues").select("cue_id", "content")
-    long = cues.where(F.length("content") > max_size).groupBy("cue_id").agg(F.min("content").alias("content"))
-    marked = long.withColumn("unbroken", longest_unbroken_over(F.col("content"), max_size))
+    cues = table(spark, folder, "cues").where(F.length("content") > max_size).select("cue_id", "content")
+    marked = cues.withColumn("unbroken", longest_unbroken_over(F.col("content"), max_size))
     pieces = split_texts(marked, "content", max_size=max_size, overlap=overlap)
     forced = F.max(F.col("forced") & F.col("unbroken"))
     return pieces.groupBy("cue_id").agg(F.when(forced, "forced").otherwise("natural").alias("cut"))
@@ -95,6 +125,8 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p6_found": p6_found,
