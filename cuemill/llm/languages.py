@@ -45,6 +45,8 @@ LENGTHS = np.array([0, 6, 12, 24, 48, 96, 192, 1 << 30])
 MARGIN = np.array([0.9, 0.25, 0.12, 0.08, 0.05, 0.04, 0.03])
 
 _URL = re.compile(r"https?[:/]+[!-~]+|[A-Za-z0-9-]+(?:[./_\\:][A-Za-z0-9-]+)+|[A-Za-z_]*[0-9][A-Za-z0-9_]*")
+#: Signs that a caption may have a label, markup or an annotation.
+_DRESSED = re.compile(r"[\[【〔(（*♪<{:：>]|^\s*[-–—]|\s[-–—]\s")
 _TAG = re.compile(r"<[^<>]*>")
 _KEY = re.compile(r"^\s*(?:- )?[A-Za-z_]+:(?=\s|$)", re.M)
 _HEAD = re.compile(r"^(?:WEBVTT.*|,?[A-Z][a-z]+(?:,[A-Z][a-z]+)+\s*)$", re.M)
@@ -123,21 +125,31 @@ def _similarities(text: np.ndarray, dimension: np.ndarray, count: np.ndarray, n:
     return out / np.maximum(np.sqrt(norm), 1e-9)[:, None].astype(np.float32)
 
 
-def classify(texts: list[str], model: Model) -> list[tuple[str | None, float, list[float], int]]:
-    """Language (None if rejected or without letters), confidence, cosines by language, number of
-    n-grams, of each text. The confidence is the best cosine's share of the two best."""
+class Found(NamedTuple):
+    """What was found about texts, as arrays: language number (-1 if rejected or without letters),
+    confidence (the best cosine's share of the two best), number of n-grams, cosines by language."""
+
+    language: np.ndarray
+    confidence: np.ndarray
+    size: np.ndarray
+    cosines: np.ndarray
+
+
+def classify(texts: list[str], model: Model) -> Found:
+    """The language of each text."""
+    n = len(texts)
     text, dimension, count = grams(texts)
-    near = _similarities(text, dimension, count, len(texts), model.weights, model.idf)
-    by_language = np.stack([near[:, model.language == i].max(1) if (model.language == i).any() else np.zeros(len(texts), np.float32) for i in range(len(LANGUAGES))], 1)
-    sizes = np.bincount(text, count, len(texts)).astype(np.int64) if len(text) else np.zeros(len(texts), np.int64)
-    best = by_language.argmax(1)
-    rows = np.arange(len(texts))
-    top = by_language[rows, best]
-    others = by_language.copy()
+    near = _similarities(text, dimension, count, n, model.weights, model.idf)
+    cosines = np.stack([near[:, model.language == i].max(1) if (model.language == i).any() else np.zeros(n, np.float32) for i in range(len(LANGUAGES))], 1)
+    size = np.bincount(text, count, n).astype(np.int64) if len(text) else np.zeros(n, np.int64)
+    best = cosines.argmax(1)
+    rows = np.arange(n)
+    top = cosines[rows, best]
+    others = cosines.copy()
     others[rows, best] = 0
     sure = top / np.maximum(top + others.max(1), 1e-9)
-    fits = (sizes > 0) & (top >= model.least[best, np.searchsorted(LENGTHS, sizes, "right") - 1])
-    return [(LANGUAGES[b] if ok else None, float(s), row, int(size)) for b, ok, s, row, size in zip(best.tolist(), fits.tolist(), sure.tolist(), by_language.tolist(), sizes.tolist(), strict=True)]
+    fits = (size > 0) & (top >= model.least[best, np.searchsorted(LENGTHS, size, "right") - 1])
+    return Found(np.where(fits, best, -1), sure, size, cosines)
 
 
 def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], pieces: list[list[tuple[np.ndarray, np.ndarray]]]) -> Model:
@@ -213,9 +225,9 @@ def clean_block(text: str) -> str:
 
 def clean_caption(text: str | None) -> str:
     """The words of a caption; empty if it has none."""
-    if is_blank(text):
+    if not text:
         return ""
-    said = parse(text).text
+    said = parse(text).text if _DRESSED.search(text) else text
     return _URL.sub(" ", said) if has_words(said) else ""
 
 
@@ -269,15 +281,17 @@ def train_on(documents: DataFrame, *, sample: int = SAMPLE, key: str = "doc_id",
     return train(vectors, [[halves(as_ints(p)) for p in row.parts] for row in got])
 
 
-_PARTS = pa.schema([("item_type", pa.string()), ("item_id", pa.int64()), ("part_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("size", pa.int64()), ("nears", pa.list_(pa.float32()))])
-_PARTS_SQL = "item_type string, item_id bigint, part_no bigint, lang string, confidence double, size bigint, nears array<float>"
+_PARTS_SQL = "item_type string, item_id bigint, part_no bigint, lang string, confidence float, size int, cosines binary"
+_CODES = pa.array(LANGUAGES, pa.string())
+#: Cosines are kept as 16-bit numbers of this many parts.
+FINE = 60_000
 
 
 def parts_with_languages(frame: DataFrame, model: Model, item_type: str, columns: list[str]) -> DataFrame:
     """item_type, item_id, part_no, lang, confidence, size and cosines of the parts that have words.
 
     ``columns`` name, for documents, the key and the text; for files, file, cue index and content; for
-    transcripts, the key and the array of segments.
+    transcripts, the key and the array of texts.
     """
     shared = frame.sparkSession.sparkContext.broadcast(model)
 
@@ -295,27 +309,41 @@ def parts_with_languages(frame: DataFrame, model: Model, item_type: str, columns
                 for number, content in enumerate(texts or [], 1):
                     yield key, number, clean_caption(content)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[tuple[int, int, str]]) -> Iterator[tuple]:
-            for (key, number, _), (lang, sure, nears, size) in zip(held, classify([t for _, _, t in held], shared.value), strict=True):
-                if size:
-                    yield item_type, key, number, lang, sure, size, nears
+    def flush(keys: list[int], numbers: list[int], texts: list[str]) -> pa.RecordBatch:
+        found = classify(texts, shared.value)
+        kept = np.flatnonzero(found.size > 0)
+        language = found.language[kept]
+        fine = np.clip(found.cosines[kept] * FINE, 0, 65535).astype(">u2")
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([item_type] * len(kept), pa.string()),
+                pa.array(np.array(keys, np.int64)[kept]),
+                pa.array(np.array(numbers, np.int64)[kept]),
+                _CODES.take(pa.array(np.maximum(language, 0), pa.int64(), mask=language < 0)),
+                pa.array(found.confidence[kept].astype(np.float32)),
+                pa.array(np.minimum(found.size[kept], 1 << 30).astype(np.int32)),
+                pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((np.arange(len(kept) + 1) * 2 * len(LANGUAGES)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(fine))]),
+            ],
+            names=["item_type", "item_id", "part_no", "lang", "confidence", "size", "cosines"],
+        )
 
-        def rows() -> Iterator[tuple]:
-            held: list[tuple[int, int, str]] = []
-            amount = 0
-            for batch in batches:
-                for item in split(batch):
-                    if item[2] and not item[2].isspace():
-                        held.append(item)
-                        amount += len(item[2])
-                        if amount > 250_000:
-                            yield from flush(held)
-                            held, amount = [], 0
-            if held:
-                yield from flush(held)
-
-        yield from to_batches(rows(), _PARTS)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[int] = []
+        numbers: list[int] = []
+        texts: list[str] = []
+        amount = 0
+        for batch in batches:
+            for key, number, text in split(batch):
+                if text and not text.isspace():
+                    keys.append(key)
+                    numbers.append(number)
+                    texts.append(text)
+                    amount += len(text)
+                    if amount > 250_000:
+                        yield flush(keys, numbers, texts)
+                        keys, numbers, texts, amount = [], [], [], 0
+        if keys:
+            yield flush(keys, numbers, texts)
 
     return frame.select(*columns).mapInArrow(work, _PARTS_SQL)
 
@@ -327,7 +355,7 @@ def item_parts(documents: DataFrame, cues: DataFrame, transcripts: DataFrame, mo
     texts = transcripts.where("transcript_id is not null").select("transcript_id", F.transform("segments", lambda s: s["text"]).alias("texts"))
     of_transcripts = parts_with_languages(texts, model, "transcript", ["transcript_id", "texts"])
     every = of_documents.unionByName(of_files).unionByName(of_transcripts)
-    return every.groupBy("item_type", "item_id", "part_no").agg(F.max_by(F.struct("lang", "confidence", "size", "nears"), F.struct("size", "lang")).alias("p")).select("item_type", "item_id", "part_no", "p.*")
+    return every.groupBy("item_type", "item_id", "part_no").agg(F.max_by(F.struct("lang", "confidence", "size", "cosines"), F.struct("size", "lang")).alias("p")).select("item_type", "item_id", "part_no", "p.*")
 
 
 def main_languages(parts: DataFrame) -> DataFrame:
@@ -345,8 +373,9 @@ def foreign_parts(parts: DataFrame, mains: DataFrame) -> DataFrame:
     larger for short parts.
     """
     other = parts.where("lang is not null").join(mains.select("item_type", "item_id", "main"), ["item_type", "item_id"]).where("lang <> main")
-    position = F.create_map(*[x for i, code in enumerate(LANGUAGES) for x in (F.lit(code), F.lit(i))])
-    lead = F.get("nears", F.element_at(position, F.col("lang"))) - F.get("nears", F.element_at(position, F.col("main")))
+    position = F.create_map(*[x for i, code in enumerate(LANGUAGES) for x in (F.lit(code), F.lit(2 * i + 1))])
+    cosine = lambda lang: F.conv(F.hex(F.substring(F.col("cosines"), F.element_at(position, F.col(lang)), F.lit(2))), 16, 10).cast("double") / FINE
+    lead = cosine("lang") - cosine("main")
     margin = F.lit(float(MARGIN[-1]))
     for bound, value in reversed(list(zip(LENGTHS[1:-1].tolist(), MARGIN[:-1].tolist(), strict=True))):
         margin = F.when(F.col("size") < bound, F.lit(value)).otherwise(margin)

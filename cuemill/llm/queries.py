@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm.broken_pairs import broken_pairs, pairs_of
 from cuemill.llm.encoding import encode_texts
 from cuemill.llm.languages import foreign_parts, item_parts, label_cases, main_languages, train_on
 from cuemill.llm.packing import pack_documents
@@ -33,35 +34,49 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_runs(table(spark, folder, "cues"))
 
 
-def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parts, main languages and labels of all documents (without junk), files and transcripts."""
-    documents, files, transcripts = (table(spark, folder, name) for name in ("documents", "files", "transcripts"))
-    junk = text_types(documents, table(spark, folder, "common_words")).where("text_class = 'junk'").select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"))
-    model = train_on(documents)
-    parts = checkpoint(item_parts(documents, table(spark, folder, "cues"), transcripts, model).join(junk, ["item_type", "item_id"], "left_anti"))
-    labels = (
-        documents.select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label"))
-        .unionByName(files.select(F.lit("file").alias("item_type"), F.col("file_id").alias("item_id"), F.col("detected_language").alias("label")))
-        .unionByName(transcripts.select(F.lit("transcript").alias("item_type"), F.col("transcript_id").alias("item_id"), F.col("detected_language").alias("label")))
-        .groupBy("item_type", "item_id")
-        .agg(F.min("label").alias("label"))
-    )
-    return parts, main_languages(parts), labels
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each part of all documents, files and transcripts."""
+    documents = table(spark, folder, "documents")
+    return checkpoint(item_parts(documents, table(spark, folder, "cues"), table(spark, folder, "transcripts"), train_on(documents)))
+
+
+def _without_junk(cases: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Cases without those of documents that nobody would read as language."""
+    types = text_types(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+    junk = types.where("text_class = 'junk'").select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"))
+    return cases.join(junk, ["item_type", "item_id"], "left_anti")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Missing or wrong language labels (part_no -1) and parts in a foreign language."""
-    parts, mains, labels = _languages(spark, folder)
+    parts = _parts(spark, folder)
+    mains = main_languages(parts)
+    labels = (
+        table(spark, folder, "documents").select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"), F.col("lang").alias("label"))
+        .unionByName(table(spark, folder, "files").select(F.lit("file").alias("item_type"), F.col("file_id").alias("item_id"), F.col("detected_language").alias("label")))
+        .unionByName(table(spark, folder, "transcripts").select(F.lit("transcript").alias("item_type"), F.col("transcript_id").alias("item_id"), F.col("detected_language").alias("label")))
+        .groupBy("item_type", "item_id")
+        .agg(F.min("label").alias("label"))
+    )
     wrong = label_cases(mains, labels).select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"))
-    return wrong.unionByName(foreign_parts(parts, mains).select("item_type", "item_id", "part_no", "lang"))
+    cases = wrong.unionByName(foreign_parts(parts, mains).select("item_type", "item_id", "part_no", "lang"))
+    return _without_junk(cases, spark, folder)
 
 
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The main language of every document, file and transcript (part_no -1) and the language of each
-    of their foreign parts, with confidence."""
-    parts, mains, _ = _languages(spark, folder)
-    main = mains.select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"), "confidence")
-    return main.unionByName(foreign_parts(parts, mains))
+    of their foreign parts, with confidence; documents that are junk are left out."""
+    parts = _parts(spark, folder)
+    mains = main_languages(parts)
+    main = mains.select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"), F.col("confidence").cast("double").alias("confidence"))
+    foreign = foreign_parts(parts, mains).withColumn("confidence", F.col("confidence").cast("double"))
+    return _without_junk(main.unionByName(foreign), spark, folder)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective translations and rewritings with their defect."""
+    pairs = pairs_of(table(spark, folder, "translations"), table(spark, folder, "para_rewrites"))
+    return broken_pairs(pairs, table(spark, folder, "common_words"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_runs": p1_runs,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p6_found": p6_found,
