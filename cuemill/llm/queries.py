@@ -12,6 +12,7 @@ from cuemill.llm.encoding import encode_texts
 from cuemill.llm.languages import foreign_parts, item_parts, label_cases, main_languages, train_on
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.repeated_cues import repeated_runs
+from cuemill.llm.sentences import learn_gaps, sentence_units
 from cuemill.llm.speaker_turns import captions_of, speaker_turns
 from cuemill.llm.splitting import longest_unbroken_over, split_texts
 from cuemill.llm.text_quality import quality_statistics, text_types
@@ -79,6 +80,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return broken_pairs(pairs, table(spark, folder, "common_words"))
 
 
+#: Rows of ids up to which the sample is sent to all executors; beyond it, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _all_texts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(F.lit("document").alias("item_type"), F.col("doc_id").alias("item_id"), "text")
+    return documents.unionByName(table(spark, folder, "cues").select(F.lit("cue").alias("item_type"), F.col("cue_id").alias("item_id"), F.col("content").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units of the documents and cues of the sample."""
+    texts = _all_texts(spark, folder)
+    sample = table(spark, folder, "sentence_sample").select("item_type", "item_id").distinct()
+    wanted = F.broadcast(sample) if sample.count() <= BROADCAST_IDS else sample
+    chosen = texts.join(wanted, ["item_type", "item_id"], "left_semi").groupBy("item_type", "item_id").agg(F.min("text").alias("text"))
+    return sentence_units(chosen, learn_gaps(texts), ["item_type", "item_id"]).select("item_type", "item_id", "first_char", "last_char")
+
+
+def p4_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units of all documents and cues; a cue delivered twice counts once."""
+    texts = _all_texts(spark, folder)
+    return sentence_units(texts, learn_gaps(texts), ["item_type", "item_id"]).dropDuplicates(["item_type", "item_id", "unit_no"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Speaker turns of files (by cue_index) and transcripts (by array position)."""
     return p5_turns(spark, folder).select("item_type", "item_id", "first_no", "last_no", "speaker")
@@ -143,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_units": p4_units,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p6_found": p6_found,
