@@ -16,10 +16,14 @@ def paragraphs_array(text: Column, n: int, cjk: Column | None = None) -> Column:
     CJK mode is chosen by the text's punctuation unless given. Stays within one row: no shuffle.
     """
     size = max(n, 1)
-    sentences = sentences_of(text, text.rlike(CJK_MARKS) if cjk is None else cjk)
-    count = F.ceil(F.size(sentences) / size).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.array_join(F.slice(sentences, i * size + 1, F.lit(size)), ""))
+
+    def grouped(sentences: Column) -> Column:
+        count = F.ceil(F.size(sentences) / size).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: F.array_join(F.slice(sentences, i * size + 1, F.lit(size)), ""))
+
+    # The sentences are bound to a lambda's variable, so that they are found once, not for every paragraph.
+    return F.element_at(F.transform(F.array(sentences_of(text, text.rlike(CJK_MARKS) if cjk is None else cjk)), grouped), 1)
 
 
 def segment(texts: DataFrame, n: int = 20, source: str = "source", text: str = "text", *, collapse: bool = False) -> DataFrame:

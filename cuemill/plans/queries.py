@@ -218,7 +218,7 @@ def section_classify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("script_word_count", f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`\\n]*`', '', 'g') AS p FROM documents),
-o AS (SELECT doc_id, p, regexp_replace(regexp_replace(p, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\t-\\r\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x1c-\\x1f]', '', 'g') AS o FROM t),
+o AS (SELECT doc_id, p, regexp_replace(regexp_replace(p, '[\\x{{4e00}}-\\x{{9fff}}]', ' ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\t-\\r\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x1c-\\x1f]', ' ', 'g') AS o FROM t),
 n AS (SELECT doc_id, CAST(length(p) - length(regexp_replace(p, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS BIGINT) AS cjk_chars, CAST(len(list_filter(string_split_regex(o, '{W}+'), lambda w: w <> '')) AS BIGINT) AS other_words FROM o)
 SELECT doc_id, cjk_chars, other_words, cjk_chars + other_words AS total FROM n""")
 def script_word_count(spark: SparkSession, folder: str) -> DataFrame:
