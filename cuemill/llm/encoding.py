@@ -116,7 +116,7 @@ class Encoder:
 
     def _encode(self, pretokens: list[str]) -> list[list[int]]:
         mapped = [p.encode().decode("latin-1").translate(self._symbols) for p in pretokens]
-        return self._processor.EncodeAsIds(mapped) if len(mapped) == 1 else self._processor.Encode(mapped, num_threads=1)
+        return self._processor.Encode(mapped, num_threads=1)
 
     def numbers(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """For each text the numbers of its pre-tokens, and the ids by number."""
@@ -126,8 +126,7 @@ class Encoder:
         known = self._number
         fresh = list({p: None for pretokens in split for p in pretokens if p not in known})
         if fresh:
-            encoded = self._encode(fresh) if len(fresh) > 1 else [self._encode(fresh)]
-            for pretoken, ids in zip(fresh, encoded, strict=True):
+            for pretoken, ids in zip(fresh, self._encode(fresh), strict=True):
                 known[pretoken] = len(self._ids)
                 self._ids.append(ids)
         out = [[known[p] for p in pretokens] for pretokens in split], self._ids

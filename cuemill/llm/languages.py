@@ -50,7 +50,7 @@ _DRESSED = re.compile(r"[\[【〔(（*♪<{:：>]|^\s*[-–—]|\s[-–—]\s")
 _TAG = re.compile(r"<[^<>]*>")
 _KEY = re.compile(r"^\s*(?:- )?[A-Za-z_]+:(?=\s|$)", re.M)
 _HEAD = re.compile(r"^(?:WEBVTT.*|,?[A-Z][a-z]+(?:,[A-Z][a-z]+)+\s*)$", re.M)
-_BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
+_BLANK_LINE = re.compile(r"\n(?:[^\S\n]*\n)+")
 
 
 def _lower_table() -> np.ndarray:

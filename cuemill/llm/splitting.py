@@ -51,22 +51,32 @@ def split_texts(texts: DataFrame, text: str, *, max_size: int, overlap: int = 0)
     if not 0 <= overlap < max_size:
         raise ValueError("overlap must be at least 0 and less than max_size")
     size = max_size - overlap
-    names = [c for c in texts.columns if c not in (text, "piece_no", "start_char", "piece", "forced", "_cores", "_ends", "_text", "_pieces")]
-    cores = F.regexp_extract_all(F.col("_text"), F.lit(pieces_pattern(size)), F.lit(0))
-    ends = F.transform(F.sequence(F.lit(1), F.size("_cores")), lambda i: F.aggregate(F.slice("_cores", F.lit(1), i), F.lit(0), lambda n, core: n + F.length(core)))
-    long = texts.where(F.length(text) > max_size).select(*names, F.col(text).alias("_text")).withColumn("_cores", cores).withColumn("_ends", ends)
-
-    def piece(core: Column, i: Column) -> Column:
-        end = F.get("_ends", i)
-        begin = F.greatest(end - F.length(core) - F.lit(overlap), F.lit(0))
-        return F.struct(
-            (i + 1).cast("bigint").alias("piece_no"),
-            (begin + 1).cast("bigint").alias("start_char"),
-            F.col("_text").substr(begin + 1, end - begin).alias("piece"),
-            ((i < F.size("_cores") - 1) & ~_natural(core)).alias("forced"),
-        )
-
-    return long.withColumn("_pieces", F.transform("_cores", piece)).select(*names, F.inline("_pieces"))
+    names = [c for c in texts.columns if c not in (text, "piece_no", "start_char", "piece", "forced", "_pieces")]
+    whole = F.col(text)
+
+    def pieces(cores: Column) -> Column:
+        lengths = F.transform(cores, F.length)
+        ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda sums, n: F.array_append(sums, n + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))))
+
+        def with_ends(known: Column) -> Column:
+            def piece(core: Column, i: Column) -> Column:
+                end = F.get(known, i)
+                begin = F.greatest(end - F.length(core) - F.lit(overlap), F.lit(0))
+                return F.struct(
+                    (i + 1).cast("bigint").alias("piece_no"),
+                    (begin + 1).cast("bigint").alias("start_char"),
+                    whole.substr(begin + 1, end - begin).alias("piece"),
+                    ((i < F.size(cores) - 1) & ~_natural(core)).alias("forced"),
+                )
+
+            return F.transform(cores, piece)
+
+        return F.element_at(F.transform(F.array(ends), with_ends), 1)
+
+    # Cores and ends are bound to lambda variables, so that they are found once, not for every piece.
+    cores = F.regexp_extract_all(whole, F.lit(pieces_pattern(size)), F.lit(0))
+    found = F.element_at(F.transform(F.array(cores), pieces), 1)
+    return texts.where(F.length(text) > max_size).select(*names, found.alias("_pieces")).select(*names, F.inline("_pieces"))
 
 
 def longest_unbroken_over(text: Column, size: int) -> Column:
