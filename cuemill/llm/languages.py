@@ -47,6 +47,7 @@ MARGIN = np.array([0.9, 0.25, 0.12, 0.08, 0.05, 0.04, 0.03])
 _URL = re.compile(r"https?[:/]+[!-~]+|[A-Za-z0-9-]+(?:[./_\\:][A-Za-z0-9-]+)+|[A-Za-z_]*[0-9][A-Za-z0-9_]*")
 #: Signs that a caption may have a label, markup or an annotation.
 _DRESSED = re.compile(r"[\[【〔(（*♪<{:：>]|^\s*[-–—]|\s[-–—]\s")
+_ASIDE = re.compile(r"[(（][^()（）]{1,60}[)）]")
 _TAG = re.compile(r"<[^<>]*>")
 _KEY = re.compile(r"^\s*(?:- )?[A-Za-z_]+:(?=\s|$)", re.M)
 _HEAD = re.compile(r"^(?:WEBVTT.*|,?[A-Z][a-z]+(?:,[A-Z][a-z]+)+\s*)$", re.M)
@@ -212,6 +213,15 @@ def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], pieces: list[list[t
     return Model(weights.astype(np.float32), idf, np.array(language or [0]), least)
 
 
+def _without_asides(text: str) -> str:
+    """A text without short bracketed phrases, which may be foreign, unless they are most of it."""
+    if "(" in text or "（" in text:
+        rest = _ASIDE.sub(" ", text)
+        if 2 * len(rest) >= len(text):
+            return rest
+    return text
+
+
 def clean_block(text: str) -> str:
     """The words of a part of a document: no markup, addresses, file names, keys and numbers."""
     if "<" in text:
@@ -220,7 +230,7 @@ def clean_block(text: str) -> str:
         text = _KEY.sub(" ", text)
     if "," in text or "WEBVTT" in text:
         text = _HEAD.sub(" ", text)
-    return _URL.sub(" ", text)
+    return _URL.sub(" ", _without_asides(text))
 
 
 def clean_caption(text: str | None) -> str:
@@ -228,7 +238,7 @@ def clean_caption(text: str | None) -> str:
     if not text:
         return ""
     said = parse(text).text if _DRESSED.search(text) else text
-    return _URL.sub(" ", said) if has_words(said) else ""
+    return _URL.sub(" ", _without_asides(said)) if has_words(said) else ""
 
 
 def blocks(text: str | None) -> list[str]:
