@@ -42,7 +42,7 @@ CLUSTERS = 3
 #: Length classes for rejection, by number of n-grams.
 LENGTHS = np.array([0, 6, 12, 24, 48, 96, 192, 1 << 30])
 #: How much closer the best language must be than the main one to tell a foreign part, by length class.
-MARGIN = np.array([0.9, 0.25, 0.12, 0.08, 0.05, 0.04, 0.03])
+MARGIN = np.array([0.9, 0.2, 0.09, 0.06, 0.045, 0.035, 0.03])
 
 _URL = re.compile(r"https?[:/]+[!-~]+|[A-Za-z0-9-]+(?:[./_\\:][A-Za-z0-9-]+)+|[A-Za-z_]*[0-9][A-Za-z0-9_]*")
 #: Signs that a caption may have a label, markup or an annotation.
@@ -250,7 +250,15 @@ def blocks(text: str | None) -> list[str]:
 
 
 def _label(label: Column) -> Column:
-    known = F.udf(language_of_label, "string")
+    """The language that a label means, in Arrow batches; each spelling of a batch is looked up once."""
+
+    @F.pandas_udf("string")
+    def known(labels):
+        import pandas as pd
+
+        meant = {spelling: language_of_label(spelling) for spelling in labels.dropna().unique()}
+        return pd.Series([meant.get(x) if isinstance(x, str) else None for x in labels], dtype=object)
+
     return known(label)
 
 

@@ -181,4 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_statistics": p9_statistics,
 }
 
-ORACLE: dict[str, str] = {}
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""SELECT cue_id, CASE WHEN list_max(list_transform(string_split_regex(content, '[{_WHITE}\\p{{P}}]'), lambda x: length(x))) > m THEN 'forced' ELSE 'natural' END AS cut
+FROM (SELECT DISTINCT cue_id, content, (SELECT max(max_size) FROM size_limits WHERE item_type = 'cue') AS m FROM cues) WHERE length(content) > m""",
+}
