@@ -7,8 +7,10 @@ learned from how texts begin and end, are matched to both sides of a gap, the lo
 the two likelihoods decide.
 
 Scale: texts are cut in the scan's own partitions. Learning counts the openings and endings of all
-Thai texts, with partial counts before the one small shuffle, and keeps the ``DICTIONARY`` most
-frequent.
+Thai texts, with partial counts before a small shuffle. Their odds are computed in Spark from all
+entries, spread by side and first letter, in one walk that keeps only an entry's shorter forms. The
+dictionaries that are sent to all executors hold every entry whose odds differ from its shorter
+form's, so they grow with the different texts around gaps.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 
 from cuemill.llm.captions import has_words, parse
 from cuemill.llm.streams import to_batches
+from cuemill.session import checkpoint
 
-#: Entries of the dictionary of openings and endings.
-DICTIONARY = 40_000
 #: Letters of an opening or ending at most.
 REACH = 10
 #: How many gaps the entry shorter by one letter counts for in a longer one's likelihood.
 SMOOTHING = 4.0
+#: The share of gaps that part sentences where nothing is known, and how many beginnings it counts for.
+USUAL_SHARE, SHARE_WEIGHT = 0.3, 20
 
 # Abbreviations that never end a sentence, in lower case without dots.
 NEVER_LAST = {
@@ -356,10 +359,15 @@ def learn_gaps(texts: DataFrame, text: str = "text") -> Gaps:
     opening among gaps that its share among beginnings explains is the likelihood that a gap before it
     parts sentences; likewise for endings.
     """
-    schema = pa.schema([("kind", pa.string()), ("entry", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("side", pa.string()), ("entry", pa.string()), ("n", pa.int64()), ("edge", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        at_gaps: Counter = Counter()
+        at_edges: Counter = Counter()
+
+        def rows() -> list[tuple[str, str, int, int]]:
+            return [(*key, at_gaps[key], at_edges[key]) for key in {**at_gaps, **at_edges}]
+
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 for part in _BLANK_LINES.split(content):
@@ -368,45 +376,91 @@ def learn_gaps(texts: DataFrame, text: str = "text") -> Gaps:
                         continue
                     _, opening = _near_gap("", said)
                     ending, _ = _near_gap(said, "")
-                    counts.update(("begin", opening[:k]) for k in range(1, len(opening) + 1))
-                    counts.update(("end", ending[-k:]) for k in range(1, len(ending) + 1))
-                    counts["texts", ""] += 1
+                    at_edges.update(_entries(ending, opening))
+                    at_edges["", ""] += 1
                     for gap in _GAP.finditer(said):
                         left, right = _near_gap(said[: gap.start()], said[gap.end() :])
                         if not left or not right:
                             continue
-                        counts.update(("after", right[:k]) for k in range(1, len(right) + 1))
-                        counts.update(("before", left[-k:]) for k in range(1, len(left) + 1))
-                        counts["gaps", ""] += 1
-            if len(counts) > 200_000:
-                yield from to_batches(((k, e, n) for (k, e), n in counts.items()), schema)
-                counts = Counter()
-        yield from to_batches(((k, e, n) for (k, e), n in counts.items()), schema)
+                        at_gaps.update(_entries(left, right))
+                        at_gaps["", ""] += 1
+            if len(at_gaps) + len(at_edges) > 200_000:
+                yield from to_batches(rows(), schema)
+                at_gaps.clear()
+                at_edges.clear()
+        yield from to_batches(rows(), schema)
 
     thai = texts.select(F.col(text).alias("text")).where(F.col("text").rlike("[฀-๿]"))
-    counted = thai.mapInArrow(work, "kind string, entry string, n bigint").groupBy("kind", "entry").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 2").orderBy(F.desc("n"), "kind", "entry").limit(4 * DICTIONARY).collect()
-    found: dict[tuple[str, str], int] = {(r.kind, r.entry): r.n for r in top}
-    n_texts, n_gaps = found.get(("texts", ""), 0), found.get(("gaps", ""), 0)
-    if n_texts < 20 or n_gaps < 20:
+    mapped = thai.mapInArrow(work, "side string, entry string, n bigint, edge bigint")
+    counted = checkpoint(mapped.groupBy("side", "entry").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge")))
+    whole = counted.where("side = ''").first()
+    if whole is None:
+        return NO_GAPS
+    n_texts, n_gaps = whole.edge, whole.n
+    if not n_gaps:
         return NO_GAPS
-    ratios = sorted((found.get(("after", e), 0) / n_gaps / (n / n_texts), n) for (k, e), n in found.items() if k == "begin" and len(e) == 4 and n >= n_texts / 200)
-    total, share, so_far = sum(n for _, n in ratios), 0.3, 0
+    # At most 200 openings are that frequent.
+    frequent = counted.where((F.col("side") == "opening") & (F.length("entry") == 4) & (F.col("edge") >= n_texts / 200)).collect()
+    share = _usual_share(sorted((r.n / n_gaps / (r.edge / n_texts), r.edge) for r in frequent))
+    by_first = counted.where("side <> '' and n > 0").repartition("side", F.substring("entry", 1, 1)).sortWithinPartitions("side", "entry")
+    odds_schema = pa.schema([("side", pa.string()), ("entry", pa.string()), ("odds", pa.float64())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from to_batches(_odds(entries, share, n_gaps / n_texts), odds_schema)
+
+    found = by_first.select("side", "entry", "n", "edge").mapInArrow(weigh, "side string, entry string, odds double").toArrow()
+    openings: dict[str, float] = {}
+    endings: dict[str, float] = {}
+    for batch in found.to_batches():
+        for side, entry, odds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if side == "opening":
+                openings[entry] = odds
+            else:
+                endings[entry[::-1]] = odds
+    return Gaps(openings, endings, -math.log(share / (1 - share)))
+
+
+def _entries(left: str, right: str) -> Iterator[tuple[str, str]]:
+    """The openings of ``right`` and the endings of ``left``; endings are turned round, so that the
+    shorter form of any entry is how it starts."""
+    turned = left[::-1]
+    yield from (("opening", right[:k]) for k in range(1, len(right) + 1))
+    yield from (("ending", turned[:k]) for k in range(1, len(turned) + 1))
+
+
+def _usual_share(ratios: list[tuple[float, int]]) -> float:
+    """The share of gaps that part sentences, from how much rarer each frequent opening is at gaps than
+    at beginnings; few texts leave it near ``USUAL_SHARE``."""
+    total, share, so_far = sum(n for _, n in ratios), USUAL_SHARE, 0
     for ratio, n in ratios:
         so_far += n
         if so_far >= 0.55 * total:
             share = ratio
             break
-    share = min(0.9, max(0.05, share))
-
-    def odds(seen: str, edge: str, shorter) -> dict[str, float]:
-        likely: dict[str, float] = {}
-        for entry, n in sorted(((e, n) for (kind, e), n in found.items() if kind == seen), key=lambda x: len(x[0])):
-            explained = min(n, share * n_gaps * found.get((edge, entry), 0) / n_texts)
-            likely[entry] = (explained + SMOOTHING * likely.get(shorter(entry), share)) / (n + SMOOTHING)
-        return {e: math.log(p / (1 - p)) for e, p in ((e, min(0.99, max(0.01, p))) for e, p in likely.items())}
-
-    return Gaps(odds("after", "begin", lambda e: e[:-1]), odds("before", "end", lambda e: e[1:]), -math.log(share / (1 - share)))
+    share = (share * total + USUAL_SHARE * SHARE_WEIGHT) / (total + SHARE_WEIGHT)
+    return min(0.9, max(0.05, share))
+
+
+def _odds(entries: Iterable[tuple[str, str, int, int]], share: float, gaps_per_text: float) -> Iterator[tuple[str, str, float]]:
+    """Side, entry and log odds of the entries, which come by side in the order of their letters, each
+    after its shorter forms. Entries with the same odds as their shorter form are left out: the shorter
+    one is matched instead."""
+    path: list[tuple[str, float, float]] = []
+    last = None
+    for side, entry, n, edge in entries:
+        if side != last:
+            path, last = [], side
+        while path and not entry.startswith(path[-1][0]):
+            path.pop()
+        shorter, known = (path[-1][1], path[-1][2]) if path else (share, None)
+        explained = min(n, share * gaps_per_text * edge)
+        likely = (explained + SMOOTHING * shorter) / (n + SMOOTHING)
+        p = min(0.99, max(0.01, likely))
+        odds = math.log(p / (1 - p))
+        path.append((entry, likely, odds))
+        if odds != known:
+            yield side, entry, odds
 
 
 def sentence_units(texts: DataFrame, gaps: Gaps, keys: list[str], text: str = "text") -> DataFrame:

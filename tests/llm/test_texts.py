@@ -1,6 +1,8 @@
 """Encoding, packing, quality, languages, pairs and sentences: round trips, held-out labels, odd input."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +171,36 @@ def test_sentences_odd(spark):
     assert S.sentence_units(frame, S.NO_GAPS, ["item_id"], "content").count() == 4
 
 
+def test_gaps_of_all_entries(spark):
+    """Few texts and entries that begin or end one text only count as all others do."""
+    said = ["กาดำบินไป กาดำบินมา", "กาดำกินปลา นกน้อยมาดู", "นกน้อยบินมา ปลาว่ายไป กาดำบินไป", "ปลาว่ายมา นกน้อยมาดู", "เรือแล่นไป ปลาว่ายไป"]
+    gaps = S.learn_gaps(spark.createDataFrame([(t,) for t in said], "text string"))
+    after, before, begin, end, n_gaps = Counter(), Counter(), Counter(), Counter(), 0
+    for text in said:
+        begin.update(text[:k] for k in range(1, 11))
+        end.update(text[-k:] for k in range(1, 11))
+        for i in (i for i, c in enumerate(text) if c == " "):
+            right, left = text[i + 1 :][:10], text[:i][-10:]
+            after.update(right[:k] for k in range(1, len(right) + 1))
+            before.update(left[-k:] for k in range(1, len(left) + 1))
+            n_gaps += 1
+    share = 1 / (1 + math.exp(gaps.prior))
+
+    def likely(entry, seen, edge, shorter):
+        short = likely(shorter(entry), seen, edge, shorter) if len(entry) > 1 else share
+        return (min(seen[entry], share * n_gaps * edge[entry] / len(said)) + S.SMOOTHING * short) / (seen[entry] + S.SMOOTHING)
+
+    for seen, edge, shorter, known in [(after, begin, lambda e: e[:-1], gaps.openings), (before, end, lambda e: e[1:], gaps.endings)]:
+        assert set(known) <= set(seen)
+        for entry in seen:
+            found = entry
+            while found and found not in known:
+                found = shorter(found)
+            p = min(0.99, max(0.01, likely(entry, seen, edge, shorter)))
+            assert found and known[found] == pytest.approx(math.log(p / (1 - p)))
+    assert S.learn_gaps(spark.createDataFrame([], "text string")) == S.learn_gaps(spark.createDataFrame([("กาดำบินไป",)], "text string")) == S.NO_GAPS
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     frame = QUERIES[name](spark, data("sf0.01" if name.startswith("p6") else "sf0.001"))
