@@ -63,18 +63,19 @@ def common_pattern(common: list[str]) -> tuple[frozenset[str], re.Pattern]:
 
 def _columns(rows: list[str]) -> tuple[float, float]:
     """The share of rows with as many cells as most, by the separator that fits best, and the share
-    of rows with a number for a cell. A separator must make at least two cells."""
+    of rows with a number for a cell. A separator must make at least two cells; those anywhere in the
+    rows are tried."""
     best = (0.0, 0.0)
     if len(rows) < 3:
         return best
-    start = "\n".join(rows[:3])
-    splits: list[list[list[str]]] = [[row.split(mark) for row in rows] for mark in ("\t", "|", ";") if mark in start]
-    if "  " in start:
+    body = "\n".join(rows)
+    splits: list[list[list[str]]] = [[row.split(mark) for row in rows] for mark in ("\t", "|", ";") if mark in body]
+    if "  " in body:
         splits.append([_GAP.split(row) for row in rows])
-    if _LEADER.search(start):
+    if _LEADER.search(body):
         splits.append([_LEADER.split(row) for row in rows])
     by_comma = len(splits)
-    if "," in start:
+    if "," in body:
         try:
             splits.append(list(csv.reader(rows)))
         except csv.Error:

@@ -75,6 +75,14 @@ def test_quality(spark):
     assert Q.quality_statistics(texts(spark), table(spark, folder, "common_words")).where("doc_id = 0").first().n_words == 2
 
 
+@pytest.mark.parametrize("mark", ["\t", " | ", ";", "   ", " ..... ", ","])
+def test_tables_under_a_title(mark):
+    """Columns count wherever they start, be it below a title, a source and a date."""
+    rows = ["Gauge readings", "Harbour office", "Spring", *(mark.join([f"station {i}", "north", str(i * 7)]) for i in range(40))]
+    values = Q.statistics("\n".join(rows), frozenset(), Q.common_pattern([])[1])
+    assert values["column_share"] == pytest.approx(40 / 43) and values["number_cell_share"] == pytest.approx(40 / 43)
+
+
 def test_languages(spark):
     folder = data("sf0.01")
     documents = table(spark, folder, "documents")
