@@ -127,6 +127,28 @@ def test_pairs(op, source, answer, label, defect):
     assert B.judge(op, source, answer, label, STOPWORDS, {}) == defect
 
 
+@pytest.mark.parametrize(
+    ("source", "answer", "defect"),
+    [
+        ("The kiln is gone. The mill is old, and the loom is 3.5 m wide.", "the kiln is gone the mill is old and the loom is 3.5 m wide", "copy"),
+        ("The kiln is gone. The mill is old, and the loom is wide.", "The kiln is gone. The mill is old, and loom is wide.", "copy"),
+        ("The kiln is gone. The mill is old, and the loom is wide.", "The kiln is gone. The mill is odl, and the loom is wide.", "copy"),
+        ("the kiln is gone", "THE KILN IS GONE", "copy"),
+        ("the kiln is gone and old", "the kiln is gnoe and old", "copy"),
+        ("窑不见了，磨坊很旧。", "窑不见了磨坊很旧", "copy"),
+        ("the kiln is 3.5 m wide and the mill is old and the loom is here", "the kiln is 3.5 m wide and the mill is old and the loom is here", "copy"),
+        ("the kiln is gone", "The kiln is gone.", None),
+        ("the kiln is gone the mill is old", "The kiln is gone. The mill is old.", None),
+        ("窑不见了磨坊很旧", "窑不见了，磨坊很旧。", None),
+        ("The kiln is is gone. The mill is old.", "The kiln is gone. The mill is old.", None),
+        ("3.5 / 22", "3.5 / 22", None),
+        ("The kiln is gone. The mill is old.", "We lost the kiln, and the mill has aged.", None),
+    ],
+)
+def test_copies_without_fillers(source, answer, defect):
+    assert B.fillers_in(source) == 0 and B.judge("rewrite", source, answer, None, STOPWORDS, {}) == defect
+
+
 def test_suffix_automaton():
     random.seed(5)
     for _ in range(100):
