@@ -149,6 +149,28 @@ def test_copies_without_fillers(source, answer, defect):
     assert B.fillers_in(source) == 0 and B.judge("rewrite", source, answer, None, STOPWORDS, {}) == defect
 
 
+LONG_REFUSAL = (
+    "I'm sorry, but I can't help with that request. The passage you sent touches on matters that I have been asked to stay away from, and I take that seriously. "
+    "I am not permitted to process material of this kind, whether as a draft, a summary or a full version in another language. "
+    "Please don't take it as a judgement of the author. If you have a different paragraph, say one about gardens, weather or travel, I would gladly look at it. "
+    "Unfortunately, for this passage no version can be given, and trying again with the same lines would not change the outcome."
+)
+QUOTING = (
+    "Am Morgen ging die Gruppe zum Hafen, wo der alte Kran stand und die Boote lagen. Der Lotse zeigte ihnen die Karte, die er im Winter gezeichnet hatte, und sprach von der Strömung. "
+    "„Ich kann Ihnen nicht helfen“, sagte der Wirt später. Danach liefen sie über die Brücke zum Turm, zählten die Stufen und schrieben alles in das Heft, das die Lehrerin mitgebracht hatte. "
+    "Der Himmel wurde dunkel, und der Wind drehte nach Norden. Am Abend saßen alle am Ofen und hörten der Geschichte vom Müller zu, der sein Rad verlor."
+)
+
+
+def test_long_refusals():
+    source = "Le four a disparu et le moulin est vieux."
+    assert len(LONG_REFUSAL) > 420 and B.judge("translate", source, LONG_REFUSAL, "German", STOPWORDS, {}) == "refusal"
+    assert len(QUOTING) > 420 and B.refusal_points(QUOTING.replace("Ich kann Ihnen nicht helfen", "Das ist nicht erlaubt")) >= 2
+    assert not B.is_refusal(QUOTING.replace("Ich kann Ihnen nicht helfen", "Das ist nicht erlaubt"), source)
+    thai = "กาดำบินไปที่ท่าเรือแล้วนกน้อยมาดูปลาว่ายไป " * 20
+    assert not B.is_refusal(thai + "ไม่ได้รับอนุญาต" + thai, source)
+
+
 def test_suffix_automaton():
     random.seed(5)
     for _ in range(100):
