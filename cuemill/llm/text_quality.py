@@ -148,7 +148,8 @@ def statistics(text: str, common: frozenset[str], unspaced_common: re.Pattern) -
     variety = 1.0
     raw = solid.encode("utf-8", "replace")
     if len(solid) >= 40 and len(zlib.compress(raw, 1)) < 0.3 * len(raw) + 12:
-        variety = len({solid[i : i + 4] for i in range(len(solid) - 3)}) / min(len(solid), 400)
+        # Different 4-grams of a text grow more slowly than its length.
+        variety = len({solid[i : i + 4] for i in range(len(solid) - 3)}) / (min(len(solid), 400) * max(1.0, len(solid) / 400) ** 0.7)
     broken = 0 if solid.isascii() else max(len(_LOST.findall(solid)) * 1.5, len(_MOJIBAKE.findall(solid)) * 2.0)
     return {
         "n_chars": float(len(text)),

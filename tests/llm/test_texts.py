@@ -83,6 +83,15 @@ def test_tables_under_a_title(mark):
     assert values["column_share"] == pytest.approx(40 / 43) and values["number_cell_share"] == pytest.approx(40 / 43)
 
 
+def test_one_thing_repeated():
+    """A sentence repeated a thousand times is one thing, however long it is; different rows aren't."""
+    pattern = Q.common_pattern([])[1]
+    sentence = "The old mill by the river is gone, and nobody in the town is surprised at all, not even the miller. "
+    assert Q.statistics(sentence * 1000, frozenset(), pattern)["variety"] <= 0.12
+    rows = "\n".join(f"station {i}; north; {i * i * 7919 % 99991}" for i in range(3000))
+    assert Q.statistics(rows, frozenset(), pattern)["variety"] > 0.12
+
+
 def test_languages(spark):
     folder = data("sf0.01")
     documents = table(spark, folder, "documents")
