@@ -105,7 +105,7 @@ def _near_gap(before: str, after: str) -> tuple[str, str]:
     return _shape(before[-40:])[-REACH:], _shape(after[:40])[:REACH]
 
 
-def _quotes(block: str) -> tuple[list[tuple[int, int, str]], list[int]]:
+def _quotes(block: str) -> list[tuple[int, int, str]]:
     """Matched quotations and brackets as (open, close, mark), by opening place."""
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int, str]] = []
@@ -130,7 +130,7 @@ def _quotes(block: str) -> tuple[list[tuple[int, int, str]], list[int]]:
                     del stack[k:]
                     break
     found.sort()
-    return found, [q[0] for q in found]
+    return found
 
 
 def _abbreviation(before: str) -> str:
@@ -260,19 +260,24 @@ def _ends(block: str, begin: int, after: int, start: int, marks: str, closed_quo
 
 
 def _block_spans(block: str, gaps: Gaps) -> Iterator[tuple[int, int]]:
-    quotes, opens = _quotes(block)
+    quotes = _quotes(block)
     skipped = [m.span() for m in _SKIPPED.finditer(block) if m.group()[0] in "<{" or m.group().startswith("http") or _FILE.search(m.group())]
     skip_starts = [s for s, _ in skipped]
 
+    opened: list[tuple[int, int, str]] = []
+    met = 0
+
     def around(i: int) -> tuple[int, int, str] | None:
-        best = None
-        for k in range(bisect_right(opens, i) - 1, -1, -1):
-            if quotes[k][0] < i < quotes[k][1]:
-                best = quotes[k]
-                break
-            if i - quotes[k][0] > 2000:
-                break
-        return best
+        """The innermost quotation or bracket around a place; places come in order."""
+        nonlocal met
+        while met < len(quotes) and quotes[met][0] < i:
+            while opened and opened[-1][1] <= quotes[met][0]:
+                opened.pop()
+            opened.append(quotes[met])
+            met += 1
+        while opened and opened[-1][1] <= i:
+            opened.pop()
+        return opened[-1] if opened else None
 
     thai = _THAI.search(block) is not None
     cased = _cased(block)

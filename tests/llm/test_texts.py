@@ -232,6 +232,15 @@ def test_sentences_odd(spark):
     assert S.sentence_units(frame, S.NO_GAPS, ["item_id"], "content").count() == 4
 
 
+def test_long_quotations():
+    """Sentences within a quotation don't end the one around them, however long the quotation is
+    and however far before them another one within it."""
+    text = "She wrote: “The mill (the old one) is gone. " + "The old mill is gone. " * 300 + "Nobody came.” Then she left."
+    assert len(S.sentence_spans(text)) == 2
+    text = "The note (“No!” it said, " + "it was late. It rained; " * 300 + "all slept) was short. Then she left."
+    assert len(S.sentence_spans(text)) == 2
+
+
 def test_gaps_of_all_entries(spark):
     """Few texts and entries that begin or end one text only count as all others do."""
     said = ["กาดำบินไป กาดำบินมา", "กาดำกินปลา นกน้อยมาดู", "นกน้อยบินมา ปลาว่ายไป กาดำบินไป", "ปลาว่ายมา นกน้อยมาดู", "เรือแล่นไป ปลาว่ายไป"]
