@@ -6,13 +6,17 @@ until no pair meets the similarity limit (and the limit on the silence between t
 given).
 
 Scale: files are cut into blocks of ``block`` cue indexes, so that a file with a third of all rows
-is spread over many tasks. A block is one group of a sorted partition. Only the runs at the two ends
-of a block meet again, by file, to be joined across the cuts: one row in ``block``.
+is spread over many tasks. A block is one group of a sorted partition. Where no run can reach across
+a place between two cues, whatever stands in other blocks, both sides are agglomerated apart. What
+lies before the first such place of a block and behind the last one meets again by file, as cues with
+equal neighbours joined: some cues a block, unless a run spans the block. So the runs don't depend on
+where blocks end.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -173,6 +177,74 @@ def agglomerate(runs: list[Run], limit: float = TWO_SLIPS, max_gap_ms: int | Non
     return [run for run, keep in zip(runs, alive, strict=True) if keep]
 
 
+def cuts_between(keys: list[str]) -> list[int]:
+    """Places i such that no run of these cues holds both cue i and cue i + 1.
+
+    All cues of a run say the same as its first one, so a run that starts at cue j ends before the
+    first cue behind it that doesn't. How far each cue reaches is found from the right, up to the next
+    cue with its own key, which reaches on from there.
+    """
+    n = len(keys)
+    reach = list(range(n))
+    again: dict[str, int] = {}
+    for j in range(n - 1, -1, -1):
+        twin, k = again.get(keys[j], n), j + 1
+        while k < n and k != twin and similarity(keys[j], keys[k]):
+            k += 1
+        reach[j] = reach[k] if k == twin < n else k - 1
+        if keys[j] != "f:":
+            again[keys[j]] = j
+    found, farthest = [], -1
+    for i in range(n - 1):
+        farthest = max(farthest, reach[i])
+        if farthest == i:
+            found.append(i)
+    return found
+
+
+#: Letters by which two cues that say the same differ at most, and of a word before a colon.
+_SLIPS, _LABEL = 2, 16
+
+
+def may_share(a: str, b: str) -> bool:
+    """False only if no cue says the same as both: a slip changes two letters at most, and words before
+    a colon may be left out."""
+    if a == b:
+        return a != "f:"
+    if a[0] != "w" or b[0] != "w":
+        return False
+    forms = [[Counter(words), Counter(label + words)] for label, words in (key[2:].split("\n", 1) for key in (a, b))]
+    for x in forms[0]:
+        for y in forms[1]:
+            more, less = (x - y).total(), (y - x).total()
+            if min(more, less) <= 2 * _SLIPS and max(more, less) <= 2 * _SLIPS + _LABEL:
+                return True
+    return False
+
+
+def _parts(runs: list[Run]) -> tuple[list[Run], list[list[Run]], list[Run] | None]:
+    """The cues of a block that may share runs with blocks before it; those that are only among
+    themselves, in parts that share no runs; and those that may share runs with blocks behind it, or
+    None if all of the block may share runs with both."""
+    keys = [run.forms[0] for run in runs]
+    open_until = next((i for i, key in enumerate(keys) if not may_share(keys[0], key)), len(keys))
+    certain = [i for i in cuts_between(keys) if i >= open_until - 1]
+    if not certain:
+        return runs, [], None
+    return runs[: certain[0] + 1], [runs[a + 1 : b + 1] for a, b in zip(certain, certain[1:], strict=False)], runs[certain[-1] + 1 :]
+
+
+def _equal_joined(runs: list[Run], max_gap_ms: int | None) -> list[Run]:
+    """Cues with the same key as the one before joined to it, as agglomeration does first."""
+    out: list[Run] = []
+    for run in runs:
+        if out and out[-1].forms == run.forms and runs_similarity(out[-1], run, max_gap_ms) == SAME:
+            out[-1].join(run)
+        else:
+            out.append(run)
+    return out
+
+
 def _in_block(limit: float, max_gap_ms: int | None, smallest: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -186,11 +258,16 @@ def _in_block(limit: float, max_gap_ms: int | None, smallest: int):
                     key = cue_key(content)
                     if key is not None:
                         runs.append(Run(index, index, 1, start, end, content, [key]))
-                merged = agglomerate(runs, limit, max_gap_ms)
-                for i, run in enumerate(merged):
-                    edge = int(i == 0 and blk > 0) + 2 * int(i == len(merged) - 1)
-                    if edge or run.count >= smallest:
-                        yield (file_id if edge else file_id ^ (blk << 40), file_id, blk, run.first, run.last, run.count, run.start, run.end, run.content, run.forms if edge else [], edge)
+                if not runs:
+                    continue
+                head, inner, tail = _parts(runs)
+                for edge, part in ((1 if tail is not None else 3, head), (2, tail or [])):
+                    for run in _equal_joined(part, max_gap_ms):
+                        yield file_id, file_id, blk, run.first, run.last, run.count, run.start, run.end, run.content, run.forms, edge
+                for part in inner:
+                    for run in agglomerate(part, limit, max_gap_ms) if len(part) > 1 else part:
+                        if run.count >= smallest:
+                            yield file_id ^ (blk << 40), file_id, blk, run.first, run.last, run.count, run.start, run.end, run.content, [], 0
 
         yield from to_batches(rows(), _ARROW)
 
@@ -200,35 +277,26 @@ def _in_block(limit: float, max_gap_ms: int | None, smallest: int):
 def _across_blocks(limit: float, max_gap_ms: int | None, smallest: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            key, tail, tail_blk = None, None, 0
+            waiting: list[Run] = []
+            place = None
 
-            def done(run: Run | None, file_id: int) -> Iterator[tuple]:
-                if run is not None and run.count >= smallest:
-                    yield file_id, run.first, run.last, run.count, run.start, run.end, run.content
+            def done(file_id: int) -> Iterator[tuple]:
+                for run in agglomerate(waiting, limit, max_gap_ms):
+                    if run.count >= smallest:
+                        yield file_id, run.first, run.last, run.count, run.start, run.end, run.content
 
             for batch in batches:
                 for _, file_id, blk, first, last, count, start, end, content, forms, edge in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if not edge:
                         yield file_id, first, last, count, start, end, content
                         continue
-                    run = Run(first, last, count, start, end, content, forms)
-                    joined = False
-                    if tail is not None and key == file_id and edge & 1 and tail_blk < blk and runs_similarity(tail, run, max_gap_ms) >= limit:
-                        tail.join(run)
-                        joined = True
-                    else:
-                        yield from done(tail, key)
-                        tail = None
-                    if edge & 2:
-                        if not joined:
-                            tail = run
-                        key, tail_blk = file_id, blk
-                    elif joined:
-                        yield from done(tail, key)
-                        tail = None
-                    else:
-                        yield from done(run, file_id)
-            yield from done(tail, key)
+                    if waiting and (place[0] != file_id or (edge == 2 and place != (file_id, blk, 2))):
+                        yield from done(place[0])
+                        waiting = []
+                    waiting.append(Run(first, last, count, start, end, content, forms))
+                    place = (file_id, blk, edge)
+            if waiting:
+                yield from done(place[0])
 
         yield from to_batches(rows(), _RUNS_ARROW)
 

@@ -70,6 +70,48 @@ def test_runs_across_blocks(spark, block):
     assert runs(repeated_runs(cues(spark, rows), block=block)) == sorted(wanted)
 
 
+def _arrow(rows, schema):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _rows(batches):
+    return [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+
+
+@pytest.mark.parametrize("gap", [None, 1000])
+def test_runs_whatever_the_block(gap):
+    """Chains of slips give the same runs wherever blocks end as a file agglomerated as a whole."""
+    import pyarrow as pa
+
+    from cuemill.llm import repeated_cues as R
+
+    random.seed(11)
+    base = ["The old mill by the river is gone", "We saw the kiln on Monday", "yes", "no way", "[music]", "uh"]
+    schema = pa.schema([("f", pa.int64()), ("b", pa.int64()), ("i", pa.int64()), ("c", pa.string()), ("s", pa.int64()), ("e", pa.int64())])
+    for _ in range(300):
+        said, at, rows = random.choice(base), 0, []
+        for i in range(random.randint(1, 30)):
+            if random.random() < 0.25:
+                said = random.choice(base)
+            content = said
+            while random.random() < 0.45 and len(content) > 1:
+                k = random.randrange(len(content))
+                content = content[:k] + content[k + 1 :]
+            if random.random() < 0.15:
+                content = random.choice(["Ann: ", "维尔姆："]) + content
+            at += random.choice([0, 500, 3000])
+            rows.append((7, i, content if random.random() > 0.08 else None, at, at + random.choice([100, 900])))
+        singles = [R.Run(i, i, 1, s, e, c, [cue_key(c)]) for _, i, c, s, e in rows if cue_key(c) is not None]
+        wanted = [(7, r.first, r.last, r.count, r.start, r.end, r.content) for r in R.agglomerate(singles, R.TWO_SLIPS, gap)]
+        for block in (1, 2, 3, 5):
+            first = _rows(R._in_block(R.TWO_SLIPS, gap, 1)(iter([_arrow([(f, i // block, i, c, s, e) for f, i, c, s, e in rows], schema)])))
+            first.sort(key=lambda r: r[:4])
+            got = _rows(R._across_blocks(R.TWO_SLIPS, gap, 1)(iter([_arrow(first, R._ARROW)]))) if first else []
+            assert sorted(got) == wanted
+
+
 def walk(captions, known):
     """Turns of one file by walking over (number, speaker or None, says)."""
     speaker, turns = None, []
