@@ -33,7 +33,7 @@ _DASHES = re.compile(r"[-–—>•]+\s+")
 _NUMBER_IN = re.compile(r"(?:" + "|".join(SPEAKER_WORDS) + r")[\s_]*(\d+)$", re.I)
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _DIGITS_APART = re.compile(r"(?<=\d) (?=\d)")
-_INVISIBLE = regex.compile(r"[\s\p{Z}\p{C}]+")
+_VISIBLE = regex.compile(r"[^\s\p{Z}\p{C}]")
 
 
 class Caption(NamedTuple):
@@ -48,7 +48,7 @@ class Caption(NamedTuple):
 
 def is_blank(text: str | None) -> bool:
     """Null, white or invisible content."""
-    return text is None or not _INVISIBLE.sub("", text)
+    return text is None or _VISIBLE.search(text) is None
 
 
 def sound_key(text: str) -> str | None:

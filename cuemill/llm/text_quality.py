@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,13 @@ _SOLID = re.compile(rf"[\w{_MARKS}]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]+")
 _WORD_EDGE = ".,;:!?…\"'“”„‘’«»()[]{}<>*_~#|/\\-–—=+¿¡؟،؛।"
+_strip_edge = methodcaller("strip", _WORD_EDGE)
 _NUMBER_CELL = re.compile(r"[\s|\"]*[-+]?\d[\d.,:]*\s*%?[\s|\"]*$")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{3,}")
 _VOWEL = re.compile(r"[aeiouyAEIOUYÀ-ÆÈ-ÏÒ-ÖÙ-Ýà-æè-ïò-öù-ý]")
+#: Latin words without a vowel.
+_NO_VOWEL = "".join(c for c in map(chr, range(0x41, 0x100)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c) and not _VOWEL.match(c))
+_VOWELLESS = re.compile(rf"(?<![A-Za-zÀ-ÖØ-öø-ÿ])[{_NO_VOWEL}]{{3,}}(?![A-Za-zÀ-ÖØ-öø-ÿ])")
 _BORDER = re.compile(r"\s*[|+][-=+|:\s]*[-=|]{2}[-=+|:\s]*$")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 _LEADER = re.compile(r"\s*(?:\.{4,}|…{2,}|_{4,}|·{4,})\s*")
@@ -72,7 +77,7 @@ def _columns(rows: list[str]) -> tuple[float, float]:
     splits: list[list[list[str]]] = [[row.split(mark) for row in rows] for mark in ("\t", "|", ";") if mark in body]
     if "  " in body:
         splits.append([_GAP.split(row) for row in rows])
-    if _LEADER.search(body):
+    if any(mark in body for mark in ("....", "……", "____", "····")):
         splits.append([_LEADER.split(row) for row in rows])
     by_comma = len(splits)
     if "," in body:
@@ -119,8 +124,8 @@ def statistics(text: str, common: frozenset[str], unspaced_common: re.Pattern) -
     unspaced_chars = sum(map(len, unspaced))
     common_hits = sum(map(len, unspaced_common.findall(" ".join(unspaced)))) if unspaced else 0
     tokens = core.split()
-    spaced = [w for w in map(_strip_edge, (_UNSPACED.sub(" ", core) if unspaced else core).lower().split()) if w and not w.isdigit()]
-    spaced = [w for w in spaced if _LETTERS.match(w)]
+    words = map(_strip_edge, (_UNSPACED.sub(" ", core) if unspaced else core).lower().split())
+    spaced = [w for w in words if w and (w[0].isalpha() or (_LETTERS.match(w) and not w.isdigit()))]
     known = sum(map(common.__contains__, spaced))
     n_words = len(spaced) + unspaced_chars / 2
     headless = [line for line in lines if not _HEADING.match(line) and not _RULE.match(line)] or lines
@@ -129,22 +134,24 @@ def statistics(text: str, common: frozenset[str], unspaced_common: re.Pattern) -
     short_limit = 26 if unspaced_chars > 0.5 * alphanumeric and not thai else 60
     ends = items = shorts = keys = 0
     for line in headless:
-        tail = line.rstrip(_CLOSING)[-1:]
-        ends += tail in _ENDS and tail != ""
-        item = _ITEM.match(line)
+        ends += line.rstrip(_CLOSING)[-1:] in _ENDS
         if len(line) <= short_limit + 12:
-            short = len(line) - (item.end() if item else 0) <= short_limit and not _TERMINATOR.search(line, item.end() if item else 0)
-            shorts += short
-            items += short and item is not None
-        keys += len(line) <= 120 and _KEY.match(line) is not None
+            item = _ITEM.match(line)
+            begin = item.end() if item else 0
+            if len(line) - begin <= short_limit and not _TERMINATOR.search(line, begin):
+                shorts += 1
+                items += item is not None
+        if ":" in line and len(line) <= 120:
+            keys += _KEY.match(line) is not None
     column_share, number_share = _columns([line.strip().strip("|") for line in headless if not _BORDER.match(line)])
     n_ends = len(_TERMINATOR.findall(core))
     inline = _inline_items(body) if len(headless) <= 3 and n_ends <= 1 else 0
-    encoded = sum(len(t) for t in tokens if len(t) >= 40 and t.isascii() and t.count(".") < len(t) // 4 and any(c.isalnum() for c in t))
-    if digits and len(tokens) >= 8 and sum(len(t) == 2 and all(c in "0123456789abcdefABCDEF" for c in t) for t in tokens) > 0.8 * len(tokens):
+    lengths = list(map(len, tokens))
+    encoded = 0 if max(lengths, default=0) < 40 else sum(len(t) for t in tokens if len(t) >= 40 and t.isascii() and t.count(".") < len(t) // 4 and any(c.isalnum() for c in t))
+    if digits and len(tokens) >= 8 and lengths.count(2) > 0.8 * len(tokens) and sum(len(t) == 2 and all(c in "0123456789abcdefABCDEF" for c in t) for t in tokens) > 0.8 * len(tokens):
         encoded = n
     latin = _LATIN_WORD.findall(core)
-    vowelless = sum(not _VOWEL.search(w) for w in latin) / len(latin) if len(latin) >= 5 else 0.0
+    vowelless = len(_VOWELLESS.findall(core)) / len(latin) if len(latin) >= 5 else 0.0
     variety = 1.0
     raw = solid.encode("utf-8", "replace")
     if len(solid) >= 40 and len(zlib.compress(raw, 1)) < 0.3 * len(raw) + 12:
@@ -175,10 +182,6 @@ def statistics(text: str, common: frozenset[str], unspaced_common: re.Pattern) -
     }
 
 
-def _strip_edge(word: str) -> str:
-    return word.strip(_WORD_EDGE)
-
-
 #: Labelling functions: the type each votes for, and when. Thresholds are on the statistics above.
 FUNCTIONS = [
     ("line_ends", "prose", lambda s: s["line_end_share"] >= 0.45 and s["n_words"] >= 3),
