@@ -11,8 +11,10 @@ texts). Its labels may be wrong: clusters form across labels first, then each ta
 most of its sharply labelled members share. Classification reads everything.
 
 Scale: parts are classified in the scan's own partitions, without shuffle. Only (item, part, language)
-is shuffled: once to count a part delivered twice once, and once to count languages per item, with
-partial counts before, so that an item with a third of all parts makes no large group.
+is shuffled: once to count a part delivered twice once, once to count languages per item, with
+partial counts before, and once to compare parts with their item's main language. That join's key
+holds the block of ``BLOCK`` part numbers too, for which the main language is repeated, so that an
+item with a third of all parts makes no large group there either.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from cuemill.session import checkpoint
 
 #: Labelled documents in the training sample.
 SAMPLE = 4000
+#: Part numbers of an item that are compared with its main language together.
+BLOCK = 4096
 #: Dimensions of the hashed vectors.
 BITS = 16
 DIMENSIONS = 1 << BITS
@@ -44,7 +48,10 @@ LENGTHS = np.array([0, 6, 12, 24, 48, 96, 192, 1 << 30])
 #: How much closer the best language must be than the main one to tell a foreign part, by length class.
 MARGIN = np.array([0.9, 0.2, 0.09, 0.06, 0.045, 0.035, 0.03])
 
-_URL = re.compile(r"https?[:/]+[!-~]+|[A-Za-z0-9-]+(?:[./_\\:][A-Za-z0-9-]+)+|[A-Za-z_]*[0-9][A-Za-z0-9_]*")
+_HTTP = re.compile(r"https?[:/]+[!-~]+")
+#: Addresses, file names and words with digits, and signs that a text has any.
+_JOINED_OR_NUMBER = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9-]++(?:[./_\\:][A-Za-z0-9-]++)+|(?<![A-Za-z_])[A-Za-z_]*[0-9][A-Za-z0-9_]*")
+_SIGN = re.compile(r"[0-9]|[./_\\:][A-Za-z-]")
 #: Signs that a caption may have a label, markup or an annotation.
 _DRESSED = re.compile(r"[\[【〔(（*♪<{:：>]|^\s*[-–—]|\s[-–—]\s")
 _ASIDE = re.compile(r"[(（][^()（）]{1,60}[)）]")
@@ -222,6 +229,13 @@ def _without_asides(text: str) -> str:
     return text
 
 
+def _without_names(text: str) -> str:
+    """A text with a space for each address, file name and word with digits."""
+    if "http" in text:
+        text = _HTTP.sub(" ", text)
+    return _JOINED_OR_NUMBER.sub(" ", text) if _SIGN.search(text) else text
+
+
 def clean_block(text: str) -> str:
     """The words of a part of a document: no markup, addresses, file names, keys and numbers."""
     if "<" in text:
@@ -230,7 +244,7 @@ def clean_block(text: str) -> str:
         text = _KEY.sub(" ", text)
     if "," in text or "WEBVTT" in text:
         text = _HEAD.sub(" ", text)
-    return _URL.sub(" ", _without_asides(text))
+    return _without_names(_without_asides(text))
 
 
 def clean_caption(text: str | None) -> str:
@@ -238,7 +252,7 @@ def clean_caption(text: str | None) -> str:
     if not text:
         return ""
     said = parse(text).text if _DRESSED.search(text) else text
-    return _URL.sub(" ", _without_asides(said)) if has_words(said) else ""
+    return _without_names(_without_asides(said)) if has_words(said) else ""
 
 
 def blocks(text: str | None) -> list[str]:
@@ -265,17 +279,21 @@ def _label(label: Column) -> Column:
 def train_on(documents: DataFrame, *, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """A model from ``sample`` labelled documents, those with the least hashes of their key.
 
-    Labels are used as far as they name one of the ten languages. The vectors are made on the
-    executors; the driver gets at most ``sample`` of them, each with at most ``DIMENSIONS`` entries.
+    Labels are used as far as they name one of the ten languages; a key's repeated rows count once. The
+    vectors are made on the executors; the driver gets at most ``sample`` of them, each with at most
+    ``DIMENSIONS`` entries.
     """
-    labelled = documents.where(f"{text} is not null and {label} is not null").select(F.xxhash64(key).alias("h"), F.col(label).alias("label"), F.col(text).alias("text"))
-    chosen = labelled.where(F.length("text") > 40).orderBy("h", "label").limit(sample)
-    schema = pa.schema([("label", pa.string()), ("dims", pa.binary()), ("counts", pa.binary()), ("parts", pa.list_(pa.binary()))])
+    labelled = documents.where(f"{text} is not null and {label} is not null").select(F.xxhash64(key).alias("h"), F.col(label).alias("label"), F.col(text).alias("text")).where(F.length("text") > 40)
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([], [])
+    chosen = labelled.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("label", "text")).alias("d")).select("h", "d.label", "d.text")
+    schema = pa.schema([("h", pa.int64()), ("label", pa.string()), ("dims", pa.binary()), ("counts", pa.binary()), ("parts", pa.list_(pa.binary()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for name, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for h, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     lang = language_of_label(name)
                     if lang not in LANGUAGES:
                         continue
@@ -288,11 +306,11 @@ def train_on(documents: DataFrame, *, sample: int = SAMPLE, key: str = "doc_id",
                         _, d, c = grams([part.strip()[:size]])
                         if len(d):
                             cut.append(d.astype(np.int32).tobytes() + c.astype(np.int32).tobytes())
-                    yield lang, dims.astype(np.int32).tobytes(), np.minimum(counts, 1 << 30).astype(np.int32).tobytes(), cut
+                    yield h, lang, dims.astype(np.int32).tobytes(), np.minimum(counts, 1 << 30).astype(np.int32).tobytes(), cut
 
         yield from to_batches(rows(), schema, 256)
 
-    got = chosen.mapInArrow(work, "label string, dims binary, counts binary, parts array<binary>").collect()
+    got = sorted(chosen.mapInArrow(work, "h bigint, label string, dims binary, counts binary, parts array<binary>").collect())
     as_ints = lambda raw: np.frombuffer(bytes(raw), np.int32)
     vectors = [(row.label, as_ints(row.dims), as_ints(row.counts)) for row in got]
     halves = lambda raw: (raw[: len(raw) // 2], raw[len(raw) // 2 :])
@@ -377,11 +395,15 @@ def item_parts(documents: DataFrame, cues: DataFrame, transcripts: DataFrame, mo
 
 
 def main_languages(parts: DataFrame) -> DataFrame:
-    """item_type, item_id, main, confidence: the language of most parts; of ties the one with most
-    text, then the first in the alphabet. The confidence is its share of the parts."""
-    counts = parts.where("lang is not null").groupBy("item_type", "item_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    best = F.max_by(F.struct("lang", "n"), F.struct(F.col("n"), F.col("size"), -F.ascii("lang"))).alias("best")
-    return counts.groupBy("item_type", "item_id").agg(best, F.sum("n").alias("parts")).select("item_type", "item_id", F.col("best.lang").alias("main"), (F.col("best.n") / F.col("parts")).alias("confidence"))
+    """item_type, item_id, main, confidence, last_part: the language of most parts; of ties the one with
+    most text, then the first in the alphabet. The confidence is the sum of its parts' confidences
+    over the number of all parts with words, rejected ones included. An item whose parts are all
+    rejected has a null language with confidence 0."""
+    counts = parts.groupBy("item_type", "item_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.col("confidence").cast("double")).alias("sure"), F.max("part_no").alias("last"))
+    rank = F.struct(F.col("lang").isNotNull(), F.col("n"), F.col("size"), -F.array_position(F.array(*map(F.lit, sorted(LANGUAGES))), F.coalesce("lang", F.lit(""))))
+    best = F.max_by(F.struct("lang", "sure"), rank).alias("best")
+    found = counts.groupBy("item_type", "item_id").agg(best, F.sum("n").alias("parts"), F.max("last").alias("last_part"))
+    return found.select("item_type", "item_id", F.col("best.lang").alias("main"), F.when(F.col("best.lang").isNull(), 0.0).otherwise(F.col("best.sure") / F.col("parts")).alias("confidence"), "last_part")
 
 
 def foreign_parts(parts: DataFrame, mains: DataFrame) -> DataFrame:
@@ -390,7 +412,9 @@ def foreign_parts(parts: DataFrame, mains: DataFrame) -> DataFrame:
     A part is foreign if its language's cosine exceeds the main language's by a margin, which is
     larger for short parts.
     """
-    other = parts.where("lang is not null").join(mains.select("item_type", "item_id", "main"), ["item_type", "item_id"]).where("lang <> main")
+    blk = F.floor(F.col("part_no") / BLOCK).cast("bigint")
+    repeated = mains.where("main is not null").select("item_type", "item_id", "main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_part") / BLOCK).cast("bigint"))).alias("blk"))
+    other = parts.where("lang is not null").withColumn("blk", blk).join(repeated.hint("shuffle_hash"), ["item_type", "item_id", "blk"]).where("lang <> main")
     position = F.create_map(*[x for i, code in enumerate(LANGUAGES) for x in (F.lit(code), F.lit(2 * i + 1))])
     cosine = lambda lang: F.conv(F.hex(F.substring(F.col("cosines"), F.element_at(position, F.col(lang)), F.lit(2))), 16, 10).cast("double") / FINE
     lead = cosine("lang") - cosine("main")
@@ -403,4 +427,4 @@ def foreign_parts(parts: DataFrame, mains: DataFrame) -> DataFrame:
 def label_cases(mains: DataFrame, labels: DataFrame) -> DataFrame:
     """Items whose label (item_type, item_id, label; one row each) names no language or another one."""
     named = _label(F.col("label"))
-    return mains.join(labels, ["item_type", "item_id"]).withColumn("named", named).where(~F.col("named").eqNullSafe(F.col("main")))
+    return mains.where("main is not null").join(labels, ["item_type", "item_id"]).withColumn("named", named).where(~F.col("named").eqNullSafe(F.col("main")))

@@ -65,8 +65,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """The main language of every document, file and transcript (part_no -1) and the language of each
-    of their foreign parts, with confidence; documents that are junk are left out."""
+    """The main language of every document, file and transcript with words (part_no -1; null if none of
+    its parts is like any of the languages) and the language of each of their foreign parts, with
+    confidence; documents that are junk are left out."""
     parts = _parts(spark, folder)
     mains = main_languages(parts)
     main = mains.select("item_type", "item_id", F.lit(-1).cast("bigint").alias("part_no"), F.col("main").alias("lang"), F.col("confidence").cast("double").alias("confidence"))
