@@ -12,7 +12,7 @@ from cuemill.llm.encoding import encode_texts
 from cuemill.llm.languages import foreign_parts, item_parts, label_cases, main_languages, train_on
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.repeated_cues import repeated_runs
-from cuemill.llm.sentences import learn_gaps, sentence_units
+from cuemill.llm.sentences import Gaps, learn_gaps, sentence_units
 from cuemill.llm.speaker_turns import captions_of, speaker_turns
 from cuemill.llm.splitting import longest_unbroken_over, split_texts
 from cuemill.llm.text_quality import quality_statistics, text_types
@@ -90,19 +90,28 @@ def _all_texts(spark: SparkSession, folder: str) -> DataFrame:
     return documents.unionByName(table(spark, folder, "cues").select(F.lit("cue").alias("item_type"), F.col("cue_id").alias("item_id"), F.col("content").alias("text")))
 
 
+def _gaps(texts: DataFrame, spark: SparkSession, folder: str) -> Gaps:
+    """What is learned about Thai from all texts; the few common words are words however rare."""
+    given = [r.word for r in table(spark, folder, "common_words").where("lang = 'th' and word is not null").select("word").distinct().limit(100_001).collect()]
+    if len(given) > 100_000:
+        raise ValueError("common_words is meant to be a short list")
+    return learn_gaps(texts, given=given)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence units of the documents and cues of the sample."""
     texts = _all_texts(spark, folder)
     sample = table(spark, folder, "sentence_sample").select("item_type", "item_id").distinct()
     wanted = F.broadcast(sample) if sample.count() <= BROADCAST_IDS else sample
     chosen = texts.join(wanted, ["item_type", "item_id"], "left_semi").groupBy("item_type", "item_id").agg(F.min("text").alias("text"))
-    return sentence_units(chosen, learn_gaps(texts), ["item_type", "item_id"]).select("item_type", "item_id", "first_char", "last_char")
+    return sentence_units(chosen, _gaps(texts, spark, folder), ["item_type", "item_id"]).select("item_type", "item_id", "first_char", "last_char")
 
 
 def p4_units(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence units of all documents and cues; a cue delivered twice counts once."""
     texts = _all_texts(spark, folder)
-    return sentence_units(texts, learn_gaps(texts), ["item_type", "item_id"]).dropDuplicates(["item_type", "item_id", "unit_no"])
+    once = texts.where("item_type = 'document'").unionByName(texts.where("item_type = 'cue' and text is not null").groupBy("item_type", "item_id").agg(F.min("text").alias("text")))
+    return sentence_units(once, _gaps(texts, spark, folder), ["item_type", "item_id"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

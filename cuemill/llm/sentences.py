@@ -2,15 +2,18 @@
 
 Method: in spaced scripts and those with full stops of their own, every run of terminators is a node
 that context accepts or rejects: abbreviations, initials, numbers, file names, quotations, brackets,
-and what comes next. Thai, which has neither, is cut at gaps: dictionaries of openings and endings,
-learned from how texts begin and end, are matched to both sides of a gap, the longest entry first, and
-the two likelihoods decide.
-
-Scale: texts are cut in the scan's own partitions. Learning counts the openings and endings of all
-Thai texts, with partial counts before a small shuffle. Their odds are computed in Spark from all
-entries, spread by side and first letter, in one walk that keeps only an entry's shorter forms. The
-dictionaries that are sent to all executors hold every entry whose odds differ from its shorter
-form's, so they grow with the different texts around gaps.
+and what comes next. Thai, which has neither, is cut at gaps: the likeliest path through the lattice
+of all dictionary words tells the words at both sides of a gap, and how often these words end and
+begin texts, as final particles and opening words do, tells whether the gap parts sentences.
+
+The dictionary is learned: strings of whole letters (a consonant with its vowels and tones) that
+recur and that neither always go on with the same letter nor always follow one, and given words.
+
+Scale: texts are cut in the scan's own partitions. Learning counts strings of at most ``LONGEST``
+characters within all Thai texts, and the words at gaps, with partial counts before a small shuffle.
+The dictionary sent to all executors holds strings that are at least the share ``RAREST`` of all
+letters, so at most 1 / RAREST of each length; the odds of words at gaps hold entries that are at
+least that share of all gaps, so at most ``REACH`` / RAREST for each side.
 """
 
 from __future__ import annotations
@@ -31,9 +34,13 @@ from cuemill.llm.captions import has_words, parse
 from cuemill.llm.streams import to_batches
 from cuemill.session import checkpoint
 
-#: Letters of an opening or ending at most.
-REACH = 10
-#: How many gaps the entry shorter by one letter counts for in a longer one's likelihood.
+#: Words of an opening or ending at most.
+REACH = 3
+#: Characters of a dictionary word at most, how often it must occur at least, and at what share of all letters.
+LONGEST, FEWEST, RAREST = 12, 5, 1e-5
+#: How often a string that goes on with one and the same letter, or follows one, is part of a word.
+BOUND = 0.7
+#: How many gaps the entry shorter by one word counts for in a longer one's likelihood.
 SMOOTHING = 4.0
 #: The share of gaps that part sentences where nothing is known, and how many beginnings it counts for.
 USUAL_SHARE, SHARE_WEIGHT = 0.3, 20
@@ -82,17 +89,54 @@ _THAI = re.compile(r"[฀-๿]")
 _GAP = re.compile(r"[^\S\n]+|[^\S\n]*\n[^\S\n]*")
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 _LATIN_WORDS = re.compile(r"[A-Za-z]+")
+_THAI_RUN = re.compile(r"[฀-๿]+")
+#: Whole Thai letters: vowels written before a consonant, it, and what is written above, below or behind.
+_THAI_LETTER = re.compile("[\u0e40-\u0e44]*[^\u0e40-\u0e44][\u0e30-\u0e3a\u0e45-\u0e4e]*|[\u0e40-\u0e44]+")
+_PIECE = re.compile(r"[฀-๿]+|\s+|.", re.S)
 
 
 class Gaps(NamedTuple):
-    """Log odds that a gap before an opening, or after an ending, parts sentences; by entry."""
+    """Costs of dictionary words, and log odds that a gap before an opening, or after an ending, parts
+    sentences, by entry: the words next to the gap first, each with a bar behind."""
 
+    words: dict[str, float]
     openings: dict[str, float]
     endings: dict[str, float]
     prior: float
 
 
-NO_GAPS = Gaps({}, {}, 0.0)
+NO_GAPS = Gaps({}, {}, {}, 0.0)
+
+
+def _thai_letters(run: str) -> list[int]:
+    """Where the whole letters of a Thai text end."""
+    return [m.end() for m in _THAI_LETTER.finditer(run)]
+
+
+def words_of(run: str, costs: dict[str, float]) -> list[str]:
+    """The words along the cheapest path through the lattice of a Thai text without spaces. Its nodes are
+    the places between whole letters, its arcs the dictionary's words, and letters that are in no word;
+    of paths that cost the same the one with the longer first words is taken."""
+    ends = [0, *_thai_letters(run)]
+    unknown = costs.get("", 20.0)
+    n = len(ends)
+    best = [0.0] * n
+    step = [0] * n
+    for i in range(n - 2, -1, -1):
+        begin = ends[i]
+        cheapest, to = unknown + best[i + 1], i + 1
+        for j in range(i + 1, n):
+            if ends[j] - begin > LONGEST:
+                break
+            cost = costs.get(run[begin : ends[j]])
+            if cost is not None and cost + best[j] <= cheapest:
+                cheapest, to = cost + best[j], j
+        best[i], step[i] = cheapest, to
+    out, i = [], 0
+    while i < n - 1:
+        out.append(run[ends[i] : ends[step[i]]])
+        i = step[i]
+    return out
 
 
 def _shape(text: str) -> str:
@@ -100,9 +144,21 @@ def _shape(text: str) -> str:
     return _LATIN_WORDS.sub("a", _DIGITS.sub("0", text))
 
 
-def _near_gap(before: str, after: str) -> tuple[str, str]:
-    """What stands at both sides of a gap, at most ``REACH`` letters of the shape."""
-    return _shape(before[-40:])[-REACH:], _shape(after[:40])[:REACH]
+def _near_gap(before: str, after: str, words: dict[str, float]) -> tuple[list[str], list[str]]:
+    """The words at both sides of a gap, those next to it first, at most ``REACH`` at each. They are
+    found in the text up to the next gap, and beyond it if it holds fewer."""
+    left: list[str] = []
+    right: list[str] = []
+    for piece in reversed(_PIECE.findall(_shape(before[-120:]))):
+        left += reversed(words_of(piece, words)) if _THAI.match(piece) else [piece.strip() or " "]
+        if len(left) >= REACH:
+            break
+    for match in _PIECE.finditer(_shape(after[:120])):
+        piece = match.group()
+        right += words_of(piece, words) if _THAI.match(piece) else [piece.strip() or " "]
+        if len(right) >= REACH:
+            break
+    return left[:REACH], right[:REACH]
 
 
 def _quotes(block: str) -> list[tuple[int, int, str]]:
@@ -318,10 +374,15 @@ def _block_spans(block: str, gaps: Gaps) -> Iterator[tuple[int, int]]:
 
 def _thai_odds(before: str, after: str, gaps: Gaps) -> float:
     """Log odds that the gap between two texts parts sentences."""
-    left, right = _near_gap(before, after)
-    opening = next((gaps.openings[right[:k]] for k in range(len(right), 0, -1) if right[:k] in gaps.openings), None)
-    ending = next((gaps.endings[left[-k:]] for k in range(len(left), 0, -1) if left[-k:] in gaps.endings), None)
-    return gaps.prior + (opening if opening is not None else -0.5) + (ending if ending is not None else -0.5)
+    left, right = _near_gap(before, after, gaps.words)
+    opening = next((gaps.openings[e] for e in reversed(_forms(right)) if e in gaps.openings), -0.5)
+    ending = next((gaps.endings[e] for e in reversed(_forms(left)) if e in gaps.endings), -0.5)
+    return gaps.prior + opening + ending
+
+
+def _forms(words: list[str]) -> list[str]:
+    """One, two and more of the words next to a gap as entries."""
+    return ["".join(f"{w}|" for w in words[:k]) for k in range(1, len(words) + 1)]
 
 
 def sentence_spans(text: str | None, gaps: Gaps = NO_GAPS) -> list[tuple[int, int]]:
@@ -357,81 +418,118 @@ def sentence_spans(text: str | None, gaps: Gaps = NO_GAPS) -> list[tuple[int, in
     return out
 
 
-def learn_gaps(texts: DataFrame, text: str = "text") -> Gaps:
-    """Openings and endings of Thai sentences, from how all Thai texts of a frame begin and end.
+def _thai_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The mostly Thai parts of texts between blank lines, without label, markup and annotations."""
+    for batch in batches:
+        for content in batch.column(0).to_pylist():
+            for part in _BLANK_LINES.split(content):
+                said = parse(part.strip()).text.strip()
+                if len(said) >= 4 and _THAI.search(said) and len(_THAI.findall(said)) >= 0.4 * len(said):
+                    yield said
+
+
+def _counted(rows: Iterable[tuple[Iterable[tuple], int]], schema: pa.Schema, limit: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Keys and their numbers as batches, added up before as far as ``limit`` keys fit in memory."""
+    seen: Counter = Counter()
+    for keys, n in rows:
+        for key in keys:
+            seen[key] += n
+        if len(seen) > limit:
+            yield from to_batches(((*key, n) for key, n in seen.items()), schema)
+            seen.clear()
+    yield from to_batches(((*key, n) for key, n in seen.items()), schema)
+
+
+def _strings(run: str) -> Iterator[tuple[str, str, str]]:
+    """Every string of whole letters of a Thai text, with itself without its last letter and without its
+    first one. Strings of one letter more than words have are there to tell how words go on."""
+    ends = [0, *_thai_letters(run)]
+    for i in range(len(ends) - 1):
+        for j in range(i + 1, len(ends)):
+            yield run[ends[i] : ends[j]], run[ends[i] : ends[j - 1]], run[ends[i + 1] : ends[j]]
+            if ends[j] - ends[i] > LONGEST:
+                break
+
+
+def learn_words(thai: DataFrame, given: Iterable[str] = ()) -> dict[str, float]:
+    """The cost of each dictionary word, minus the logarithm of its share of all letters, from a frame
+    of Thai texts (text); the empty word is any other letter. ``given`` words are words however rare."""
+    runs_schema = pa.schema([("run", pa.string()), ("n", pa.int64())])
+    strings_schema = pa.schema([("s", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64())])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(((((run,) for run in _THAI_RUN.findall(said)), 1) for said in _thai_parts(batches)), runs_schema)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(((_strings(run), n) for batch in batches for run, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)), strings_schema)
+
+    distinct = thai.mapInArrow(runs, "run string, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    every = distinct.mapInArrow(strings, "s string, head string, tail string, n bigint").groupBy("s", "head", "tail").agg(F.sum("n").alias("n"))
+    counted = checkpoint(every.where("n > 1"))
+    # Whole letters are the strings whose head is empty.
+    letters = counted.where("head = ''").agg(F.sum("n")).first()[0] or 0
+    least = max(FEWEST, RAREST * letters)
+    near = counted.where(F.col("n") >= 0.5 * least)
+    goes_on = near.groupBy(F.col("head").alias("s")).agg(F.max("n").alias("after"))
+    follows = near.groupBy(F.col("tail").alias("s")).agg(F.max("n").alias("before"))
+    known = near.where((F.col("n") >= least) & (F.length("s") <= LONGEST)).join(goes_on, "s", "left").join(follows, "s", "left")
+    free = (F.coalesce("after", F.lit(0)) <= BOUND * F.col("n")) & (F.coalesce("before", F.lit(0)) <= BOUND * F.col("n"))
+    found = known.where(free).select("s", "n").toArrow()
+    costs = {word: -math.log(n / max(letters, n)) for word, n in zip(*(c.to_pylist() for c in found.columns), strict=True)}
+    rare = -math.log(1 / (2 * max(letters, 1)))
+    return {"": rare + 1.0} | dict.fromkeys((w for w in given if _THAI_RUN.fullmatch(w)), rare) | costs
+
+
+def learn_gaps(texts: DataFrame, text: str = "text", given: Iterable[str] = ()) -> Gaps:
+    """The dictionary, and openings and endings of Thai sentences, from all Thai texts of a frame.
 
     A gap that parts sentences has before and after it what ends and begins texts. The share of an
     opening among gaps that its share among beginnings explains is the likelihood that a gap before it
     parts sentences; likewise for endings.
     """
-    schema = pa.schema([("side", pa.string()), ("entry", pa.string()), ("n", pa.int64()), ("edge", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_gaps: Counter = Counter()
-        at_edges: Counter = Counter()
-
-        def rows() -> list[tuple[str, str, int, int]]:
-            return [(*key, at_gaps[key], at_edges[key]) for key in {**at_gaps, **at_edges}]
+    thai = texts.select(F.col(text).alias("text")).where(F.col("text").rlike("[฀-๿]"))
+    words = learn_words(thai, given)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("side", pa.string()), ("entry", pa.string()), ("at_edge", pa.bool_()), ("n", pa.int64())])
 
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for part in _BLANK_LINES.split(content):
-                    said = parse(part.strip()).text.strip()
-                    if len(said) < 4 or not _THAI.search(said) or len(_THAI.findall(said)) < 0.4 * len(said):
-                        continue
-                    _, opening = _near_gap("", said)
-                    ending, _ = _near_gap(said, "")
-                    at_edges.update(_entries(ending, opening))
-                    at_edges["", ""] += 1
-                    for gap in _GAP.finditer(said):
-                        left, right = _near_gap(said[: gap.start()], said[gap.end() :])
-                        if not left or not right:
-                            continue
-                        at_gaps.update(_entries(left, right))
-                        at_gaps["", ""] += 1
-            if len(at_gaps) + len(at_edges) > 200_000:
-                yield from to_batches(rows(), schema)
-                at_gaps.clear()
-                at_edges.clear()
-        yield from to_batches(rows(), schema)
+    def entries(left: list[str], right: list[str], at_edge: bool) -> Iterator[tuple[str, str, bool]]:
+        yield "", "", at_edge
+        yield from (("opening", entry, at_edge) for entry in _forms(right))
+        yield from (("ending", entry, at_edge) for entry in _forms(left))
 
-    thai = texts.select(F.col(text).alias("text")).where(F.col("text").rlike("[฀-๿]"))
-    mapped = thai.mapInArrow(work, "side string, entry string, n bigint, edge bigint")
-    counted = checkpoint(mapped.groupBy("side", "entry").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[Iterable[tuple], int]]:
+            for said in _thai_parts(batches):
+                yield entries(_near_gap(said, "", shared.value)[0], _near_gap("", said, shared.value)[1], True), 1
+                for gap in _GAP.finditer(said):
+                    if gap.start() and gap.end() < len(said):
+                        yield entries(*_near_gap(said[: gap.start()], said[gap.end() :], shared.value), False), 1
+
+        yield from _counted(rows(), schema)
+
+    mapped = thai.mapInArrow(work, "side string, entry string, at_edge boolean, n bigint")
+    amount = lambda at_edge: F.sum(F.when(F.col("at_edge") == at_edge, F.col("n")).otherwise(0))
+    counted = checkpoint(mapped.groupBy("side", "entry").agg(amount(False).alias("n"), amount(True).alias("edge")))
     whole = counted.where("side = ''").first()
-    if whole is None:
+    if whole is None or not whole.n:
         return NO_GAPS
     n_texts, n_gaps = whole.edge, whole.n
-    if not n_gaps:
-        return NO_GAPS
     # At most 200 openings are that frequent.
-    frequent = counted.where((F.col("side") == "opening") & (F.length("entry") == 4) & (F.col("edge") >= n_texts / 200)).collect()
+    one_word = F.length("entry") - F.length(F.replace("entry", F.lit("|"), F.lit(""))) == 1
+    frequent = counted.where((F.col("side") == "opening") & one_word & (F.col("edge") >= n_texts / 200)).collect()
     share = _usual_share(sorted((r.n / n_gaps / (r.edge / n_texts), r.edge) for r in frequent))
-    by_first = counted.where("side <> '' and n > 0").repartition("side", F.substring("entry", 1, 1)).sortWithinPartitions("side", "entry")
+    by_first = counted.where((F.col("side") != "") & (F.col("n") >= max(1.0, RAREST * n_gaps))).repartition("side", F.substring_index("entry", "|", 1)).sortWithinPartitions("side", "entry")
     odds_schema = pa.schema([("side", pa.string()), ("entry", pa.string()), ("odds", pa.float64())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        yield from to_batches(_odds(entries, share, n_gaps / n_texts), odds_schema)
+        known = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from to_batches(_odds(known, share, n_gaps / n_texts), odds_schema)
 
     found = by_first.select("side", "entry", "n", "edge").mapInArrow(weigh, "side string, entry string, odds double").toArrow()
-    openings: dict[str, float] = {}
-    endings: dict[str, float] = {}
-    for batch in found.to_batches():
-        for side, entry, odds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if side == "opening":
-                openings[entry] = odds
-            else:
-                endings[entry[::-1]] = odds
-    return Gaps(openings, endings, -math.log(share / (1 - share)))
-
-
-def _entries(left: str, right: str) -> Iterator[tuple[str, str]]:
-    """The openings of ``right`` and the endings of ``left``; endings are turned round, so that the
-    shorter form of any entry is how it starts."""
-    turned = left[::-1]
-    yield from (("opening", right[:k]) for k in range(1, len(right) + 1))
-    yield from (("ending", turned[:k]) for k in range(1, len(turned) + 1))
+    odds: dict[str, dict[str, float]] = {"opening": {}, "ending": {}}
+    for side, entry, value in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        odds[side][entry] = value
+    return Gaps(words, odds["opening"], odds["ending"], -math.log(share / (1 - share)))
 
 
 def _usual_share(ratios: list[tuple[float, int]]) -> float:

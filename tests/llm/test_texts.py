@@ -241,34 +241,73 @@ def test_long_quotations():
     assert len(S.sentence_spans(text)) == 2
 
 
+def test_word_lattice():
+    """The path through the lattice is the cheapest of all ways to cut a text at whole letters."""
+    random.seed(4)
+    for _ in range(60):
+        costs = {"": 9.0} | {"".join(random.choice(["กา", "ดำ", "น", "ปลา"]) for _ in range(random.randint(1, 3))): random.uniform(1, 8) for _ in range(6)}
+        run = "".join(random.choice(["กา", "ดำ", "น", "ป", "ลา"]) for _ in range(7))
+        ends = [0, *S._thai_letters(run)]
+
+        def cheapest(i, ends=ends, run=run, costs=costs):
+            if i == len(ends) - 1:
+                return 0.0
+            return min(cheapest(j) + (costs.get(run[ends[i] : ends[j]], 9.0 if j == i + 1 else math.inf) if j > i + 1 else min(9.0, costs.get(run[ends[i] : ends[j]], 9.0))) for j in range(i + 1, len(ends)) if ends[j] - ends[i] <= S.LONGEST or j == i + 1)
+
+        words = S.words_of(run, costs)
+        whole = set(S._thai_letters(run)) | {0}
+        assert "".join(words) == run and all(sum(map(len, words[:k])) in whole for k in range(len(words)))
+        assert sum(costs.get(w, 9.0) if w != "" else 9.0 for w in words) == pytest.approx(cheapest(0))
+    assert S.words_of("", {}) == [] and S.words_of("เกาะ", {}) == ["เกาะ"]
+
+
+def test_learned_words(spark):
+    """Words learned from texts without spaces cut other texts of these words at nine in ten places."""
+    random.seed(6)
+    letters = [c + v for c in "กขคงจชดตทนบปพมยรลวสห" for v in ("", "า", "ี", "ู")]
+    words = ["".join(random.choice(letters) for _ in range(random.randint(2, 3))) for _ in range(60)]
+    said = ["".join(random.choice(words) for _ in range(6)) for _ in range(400)]
+    costs = S.learn_words(spark.createDataFrame([(t,) for t in said], "text string"), ["ครับ"])
+    assert "ครับ" in costs and len(costs) <= S.LONGEST / S.RAREST
+    met = total = 0
+    for _ in range(100):
+        true = [random.choice(words) for _ in range(6)]
+        found = S.words_of("".join(true), costs)
+        places = lambda ws: {sum(map(len, ws[:k])) for k in range(1, len(ws))}
+        met += len(places(true) & places(found))
+        total += len(places(true) | places(found))
+    assert met >= 0.9 * total
+
+
 def test_gaps_of_all_entries(spark):
-    """Few texts and entries that begin or end one text only count as all others do."""
-    said = ["กาดำบินไป กาดำบินมา", "กาดำกินปลา นกน้อยมาดู", "นกน้อยบินมา ปลาว่ายไป กาดำบินไป", "ปลาว่ายมา นกน้อยมาดู", "เรือแล่นไป ปลาว่ายไป"]
+    """Few texts, and entries that begin or end one text only, count as all others do."""
+    said = ["กาดำบินไป กาดำบินมา", "กาดำกินปลา นกน้อยมาดู", "นกน้อยบินมา ปลาว่ายไป กาดำบินไป"]
     gaps = S.learn_gaps(spark.createDataFrame([(t,) for t in said], "text string"))
     after, before, begin, end, n_gaps = Counter(), Counter(), Counter(), Counter(), 0
     for text in said:
-        begin.update(text[:k] for k in range(1, 11))
-        end.update(text[-k:] for k in range(1, 11))
+        begin.update(S._forms(S._near_gap("", text, gaps.words)[1]))
+        end.update(S._forms(S._near_gap(text, "", gaps.words)[0]))
         for i in (i for i, c in enumerate(text) if c == " "):
-            right, left = text[i + 1 :][:10], text[:i][-10:]
-            after.update(right[:k] for k in range(1, len(right) + 1))
-            before.update(left[-k:] for k in range(1, len(left) + 1))
+            left, right = S._near_gap(text[:i], text[i + 1 :], gaps.words)
+            after.update(S._forms(right))
+            before.update(S._forms(left))
             n_gaps += 1
     share = 1 / (1 + math.exp(gaps.prior))
 
-    def likely(entry, seen, edge, shorter):
-        short = likely(shorter(entry), seen, edge, shorter) if len(entry) > 1 else share
+    def likely(entry, seen, edge):
+        shorter = "".join(f"{w}|" for w in entry.split("|")[:-2])
+        short = likely(shorter, seen, edge) if shorter else share
         return (min(seen[entry], share * n_gaps * edge[entry] / len(said)) + S.SMOOTHING * short) / (seen[entry] + S.SMOOTHING)
 
-    for seen, edge, shorter, known in [(after, begin, lambda e: e[:-1], gaps.openings), (before, end, lambda e: e[1:], gaps.endings)]:
-        assert set(known) <= set(seen)
-        for entry in seen:
-            found = entry
-            while found and found not in known:
-                found = shorter(found)
-            p = min(0.99, max(0.01, likely(entry, seen, edge, shorter)))
-            assert found and known[found] == pytest.approx(math.log(p / (1 - p)))
+    for seen, edge, known in [(after, begin, gaps.openings), (before, end, gaps.endings)]:
+        assert known and set(known) <= set(seen)
+        for entry, odds in known.items():
+            p = min(0.99, max(0.01, likely(entry, seen, edge)))
+            assert odds == pytest.approx(math.log(p / (1 - p)))
     assert S.learn_gaps(spark.createDataFrame([], "text string")) == S.learn_gaps(spark.createDataFrame([("กาดำบินไป",)], "text string")) == S.NO_GAPS
+    units = ["กาดำบินไป", "นกน้อยมาดู", "ปลาว่ายมา", "เรือแล่นไป"]
+    gaps = S.learn_gaps(spark.createDataFrame([(f"{a} {b}",) for a in units for b in units if a != b], "text string"))
+    assert [S.sentence_spans(f"{a} {b}", gaps) for a, b in zip(units, units[1:], strict=False)] == [[(1, len(a)), (len(a) + 2, len(a) + 1 + len(b))] for a, b in zip(units, units[1:], strict=False)]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
