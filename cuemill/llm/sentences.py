@@ -74,16 +74,20 @@ _BLANK_LINES = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|\r[^\S\r\n]*(?:\r[^\
 _HEADING = re.compile(r"[^\S\n]*#{1,6}[^\S\n]+[^\n\r]*")
 _RULE = re.compile(r"\s*[-*_=]{3,}\s*")
 _SKIPPED = re.compile(r"https?:/+[!-~]+|<[^<>\n]{1,80}>|\{\\[^{}]*\}|[A-Za-z0-9_-]+(?:[./\\][A-Za-z0-9_-]+)*\.[A-Za-z][A-Za-z0-9]{1,3}(?![A-Za-z0-9])(?=\s|[^\x00-\x7f]|[,;:!?]|$)")
+#: What every match of the above holds.
+_SKIP_SIGN = re.compile(r"https?:/|<|\{\\|[A-Za-z0-9_-]\.[A-Za-z]")
 _FILE = re.compile(r"[A-Za-z0-9_-]*[a-z0-9_-]\.(?:[a-z]\w*\.)*(?:mp4|mp3|wav|vtt|srt|txt|md|docx?|csv|json|ya?ml|pdf|html?|py|mkv|mov)$", re.I)
 _TERMINATORS = regex.compile(r"[.!?…。！？؟।۔｡]+")
 _CLOSING = "\"'”’»」』)）]】〕›*_~`"
 _OPENING = "\"'“„‘«「『(（[【〔‹¿¡*_~`"
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“"}
+_QUOTES = re.compile("[" + re.escape("".join(sorted({*_PAIRS, *_PAIRS.values(), '"'}))) + "]")
 _BRACKETS = frozenset("(（[【")
 #: The end of a clause: a terminator that is not within a number or name.
 _CLAUSE_END = regex.compile(r"[!?…。！？؟।۔]|\.(?=\s|$|[\"'”’»])")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*$")
-_ABBREVIATION_BEFORE = regex.compile(r"(?:\p{L}\p{M}*\.\s?)+\p{L}\p{M}*$|[\p{L}\p{M}-]+$")
+#: Searched from the end of a text.
+_WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*$")
+_ABBREVIATION_BEFORE = regex.compile(r"(?r)(?:\p{L}\p{M}*\.\s?)+\p{L}\p{M}*$|[\p{L}\p{M}-]+$")
 _SPEECH_LEAD = regex.compile(r"[:：]\s*[*_~]*$")
 _THAI = re.compile(r"[฀-๿]")
 _GAP = re.compile(r"[^\S\n]+|[^\S\n]*\n[^\S\n]*")
@@ -166,7 +170,8 @@ def _quotes(block: str) -> list[tuple[int, int, str]]:
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int, str]] = []
     straight = -1
-    for i, c in enumerate(block):
+    for met in _QUOTES.finditer(block):
+        i, c = met.start(), met.group()
         if c == '"':
             if straight < 0:
                 straight = i
@@ -224,9 +229,13 @@ def _only_lead(unit: str) -> bool:
 def _cased(block: str) -> bool:
     """Whether small letters at a start mean anything: not in a text of an alphabet with capitals that
     uses none, leaving label and markup aside."""
+    if block.upper() == block:
+        return True
     said = parse(block).text
+    if any(map(str.isupper, said)):
+        return True
     small = sum(map(str.islower, said))
-    return any(map(str.isupper, said)) or small < 0.5 * sum(map(str.isalpha, said))
+    return small < 0.5 * sum(map(str.isalpha, said))
 
 
 def _stop(block: str, begin: int, end: int, start: int, inside: tuple[int, int, str] | None, cased: bool) -> int:
@@ -317,7 +326,7 @@ def _ends(block: str, begin: int, after: int, start: int, marks: str, closed_quo
 
 def _block_spans(block: str, gaps: Gaps) -> Iterator[tuple[int, int]]:
     quotes = _quotes(block)
-    skipped = [m.span() for m in _SKIPPED.finditer(block) if m.group()[0] in "<{" or m.group().startswith("http") or _FILE.search(m.group())]
+    skipped = [] if not _SKIP_SIGN.search(block) else [m.span() for m in _SKIPPED.finditer(block) if m.group()[0] in "<{" or m.group().startswith("http") or _FILE.search(m.group())]
     skip_starts = [s for s, _ in skipped]
 
     opened: list[tuple[int, int, str]] = []
