@@ -13,6 +13,7 @@ its table of pre-tokens starts anew when it holds ``MEMORY`` entries.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -167,13 +168,13 @@ def decode(tokens: list[bytes], ids: list[int]) -> str:
     return b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
 
 
 def worker_encoder(shared) -> Encoder:
     """The Encoder of this Python worker for a broadcast (model, pattern)."""
-    model, pattern = shared.value
-    key = hash((len(model), pattern))
+    model, pattern, digest = shared.value
+    key = digest, pattern
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(model, pattern)
     return _ENCODERS[key]
@@ -182,7 +183,7 @@ def worker_encoder(shared) -> Encoder:
 def shared_model(df: DataFrame, path: str | None = None, pattern: str | None = None):
     """The model built from a vocabulary file on the driver, broadcast to the workers."""
     model = bpe_model(read_ranks(path or tokenizer_path()))
-    return df.sparkSession.sparkContext.broadcast((model, pattern or pretoken_pattern()))
+    return df.sparkSession.sparkContext.broadcast((model, pattern or pretoken_pattern(), hashlib.sha256(model).digest()))
 
 
 def _slices(batch: pa.RecordBatch, column: int, characters: int = 2_000_000) -> Iterator[pa.RecordBatch]:

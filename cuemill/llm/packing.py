@@ -5,25 +5,34 @@ The largest unused document seeds a container; the index returns its unused neig
 the window greedily; the last stretch is filled with the subset of the nearest neighbours that comes
 closest to the capacity.
 
-Scale: items are spread evenly over shards of about ``shard_items`` by a hash of key and place, so
+Scale: the index is sharded by content. Items whose tokens are nearest to the same two of ``CLUSTERS``
+centroids, which are fitted on at most ``SAMPLE`` documents, share a bucket; neighbouring buckets
+fill shards of about ``shard_items``, and a bucket that is larger is cut by a hash of key and copy. So
 neither a hot source nor repeated rows make a large shard, and a shard's memory and time are bounded.
-The few items of a shard's loose containers meet those of ``LOOSE_SHARDS`` other shards once more.
-Two shuffles, each of token counts per document only.
+Placement depends on keys and texts only: how the input is split, and a task tried again, change
+nothing, but which of a key's repeated rows goes where. The few items of a shard's loose containers
+meet those of ``LOOSE_SHARDS`` other shards once more. Items are written once; two shuffles, each of
+token counts per document only.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuemill.llm.encoding import _slices, shared_model, worker_encoder
 from cuemill.llm.streams import to_batches
+from cuemill.session import checkpoint
 
 SHARD_ITEMS = 4096
+#: Documents from which the shards' centroids are fitted, and the number of these.
+SAMPLE, CLUSTERS = 2000, 64
 #: Shards whose loose items are packed together in the second round.
 LOOSE_SHARDS = 256
 #: A container counts as loose below this share of its capacity.
@@ -32,6 +41,8 @@ LOOSE = 0.985
 NEIGHBOURS = 96
 K1, B = 1.2, 0.75
 
+_FOUND = pa.schema([("bucket", pa.int64()), ("copy", pa.int64()), ("key", pa.string()), ("piece_no", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())])
+_FOUND_SQL = "bucket bigint, copy bigint, key string, piece_no bigint, start_token bigint, n_tokens bigint, terms binary, counts binary"
 _ITEM = pa.schema([("shard", pa.int64()), ("key", pa.string()), ("piece_no", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())])
 _ITEM_SQL = "shard bigint, key string, piece_no bigint, start_token bigint, n_tokens bigint, terms binary, counts binary"
 _PLACED = pa.schema([("skey", pa.int64()), ("container", pa.int64()), ("place", pa.int64()), *list(_ITEM)[1:]])
@@ -131,11 +142,103 @@ def pack(sizes: list[int], terms: list[np.ndarray], counts: list[np.ndarray], ca
     return containers
 
 
+class Centroids:
+    """Directions of term vectors, fitted by spherical k-means; the weight of a term falls with the share
+    of the fitted documents that have it."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], clusters: int, rounds: int = 8):
+        size = 1 + max((int(t.max()) for t, _ in vectors if len(t)), default=0)
+        df = np.zeros(size)
+        for terms, _ in vectors:
+            df[terms] += 1
+        self._idf = np.log((len(vectors) + 1) / (df + 0.5)).astype(np.float32)
+        units = [(terms, self._unit(terms, counts)) for terms, counts in vectors if len(terms)]
+        k = max(1, min(clusters, len(units)))
+        self._weights = np.zeros((size, k), np.float32)
+        for i in range(k if units else 0):
+            terms, unit = units[i * len(units) // k]
+            self._weights[terms, i] = unit
+        for _ in range(rounds if units else 0):
+            moved = np.zeros_like(self._weights)
+            for terms, unit in units:
+                moved[terms, int((unit @ self._weights[terms]).argmax())] += unit
+            norm = np.sqrt((moved * moved).sum(0))
+            self._weights = np.where(norm > 0, moved / np.maximum(norm, 1e-9), self._weights)
+        self._weights = np.ascontiguousarray(self._weights[:, self._chain()])
+
+    def _chain(self) -> list[int]:
+        """The centroids in an order in which each is followed by the nearest of those left."""
+        near = self._weights.T @ self._weights
+        order, left = [0], set(range(1, near.shape[0]))
+        while left:
+            order.append(max(left, key=lambda i: (near[order[-1], i], -i)))
+            left.remove(order[-1])
+        return order
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        x = np.sqrt(counts).astype(np.float32) * self._idf[terms]
+        return x / max(float(np.sqrt((x * x).sum())), 1e-9)
+
+    def bucket(self, terms: np.ndarray, counts: np.ndarray) -> int:
+        """The nearest and the second nearest centroid as one number; 0 for no terms that are known."""
+        known = terms < len(self._idf)
+        terms, counts = terms[known], counts[known]
+        if not len(terms):
+            return 0
+        near = self._unit(terms, counts) @ self._weights[terms]
+        first = int(near.argmax())
+        near[first] = -1
+        return first * CLUSTERS + int(near.argmax())
+
+
+def shards_of_buckets(counts: dict[int, int], shard_items: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(bucket, first shard, number of shards) of each bucket, and the number of all shards. Neighbouring
+    buckets share a shard while they fit; a larger one has its own."""
+    out: list[tuple[int, int, int]] = []
+    shard = filled = 0
+    for bucket in sorted(counts):
+        n = counts[bucket]
+        if filled and filled + n > shard_items:
+            shard, filled = shard + 1, 0
+        parts = max(1, -(-n // shard_items))
+        out.append((bucket, shard, parts))
+        if parts > 1:
+            shard, filled = shard + parts, 0
+        else:
+            filled += n
+    return out, shard + (filled > 0)
+
+
 def _arrays(rows: list[tuple]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
     return [r[-3] for r in rows], [np.frombuffer(r[-2], np.int32) for r in rows], [np.frombuffer(r[-1], np.uint16) for r in rows]
 
 
-def pack_documents(documents: DataFrame, key: str, text: str, *, capacity: int, shard_items: int = SHARD_ITEMS, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = np.unique(ids, return_counts=True)
+    return terms.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)
+
+
+def fit_centroids(texts: DataFrame, shared, capacity: int, sample: int, clusters: int) -> Centroids:
+    """Centroids of the documents (key, text) whose keys have the ``sample`` least hashes, each key once
+    and with at most ``capacity`` tokens."""
+    hashed = texts.where("text is not null").select(F.xxhash64("key").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return Centroids([], clusters)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared)
+        for batch in batches:
+            for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms, counts = _terms(np.array(encoder.ids(text)[:capacity], np.int32))
+                yield pa.RecordBatch.from_pydict({"h": [h], "terms": [terms.tobytes()], "counts": [counts.tobytes()]}, schema=pa.schema([("h", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())]))
+
+    chosen = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+    rows = sorted(chosen.mapInArrow(encode, "h bigint, terms binary, counts binary").collect())
+    return Centroids([(np.frombuffer(bytes(r.terms), np.int32), np.frombuffer(bytes(r.counts), np.uint16)) for r in rows], clusters)
+
+
+def pack_documents(documents: DataFrame, key: str, text: str, *, capacity: int, shard_items: int = SHARD_ITEMS, sample: int = SAMPLE, clusters: int = CLUSTERS, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """container_id, place (from 1), ``key``, piece_no, start_token (from 0), n_tokens.
 
     Every row is in one container, whole, unless its text alone has more tokens than ``capacity``:
@@ -145,40 +248,52 @@ def pack_documents(documents: DataFrame, key: str, text: str, *, capacity: int,
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
+    if not 1 <= clusters <= CLUSTERS:
+        raise ValueError(f"clusters must be 1 to {CLUSTERS}")
     shared = shared_model(documents, path, pattern)
-    shards = max(1, -(-documents.count() // shard_items))
+    spark = documents.sparkSession
+    texts = documents.select(documents[key].cast("string").alias("key"), documents[text].cast("string").alias("text"))
+    fitted = spark.sparkContext.broadcast(fit_centroids(texts, shared, capacity, sample, clusters))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         def rows() -> Iterator[tuple]:
             encoder = worker_encoder(shared)
-            place = 0
+            seen: Counter = Counter()
             for batch in batches:
                 for part in _slices(batch, 1):
                     lists = encoder.batch_ids(part.column(1).to_pylist())
                     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
                     for row, name in enumerate(part.column(0).to_pylist()):
                         ids = values[offsets[row] : offsets[row + 1]]
-                        place += 1
-                        shard = zlib.crc32(f"{name}:{place}".encode()) % shards
+                        copy = seen[name]
+                        seen[name] += 1
                         whole = len(ids) // capacity if len(ids) > capacity else 0
                         for piece in range(whole):
-                            yield -1 - shard, name, piece + 1, piece * capacity, capacity, b"", b""
+                            yield -1, copy, name, piece + 1, piece * capacity, capacity, b"", b""
                         rest = ids[whole * capacity :]
                         if len(rest) or not whole:
-                            terms, counts = np.unique(rest, return_counts=True)
-                            yield shard, name, whole + 1, whole * capacity, len(rest), terms.astype(np.int32).tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes()
+                            terms, counts = _terms(rest)
+                            yield fitted.value.bucket(terms, counts), copy, name, whole + 1, whole * capacity, len(rest), terms.tobytes(), counts.tobytes()
 
-        yield from to_batches(rows(), _ITEM, 1024)
+        yield from to_batches(rows(), _FOUND, 1024)
+
+    found = checkpoint(texts.mapInArrow(items, _FOUND_SQL))
+    # Buckets are pairs of centroids: at most CLUSTERS squared.
+    sizes = {r.bucket: r["count"] for r in found.where("bucket >= 0").groupBy("bucket").count().collect()}
+    known, shards = shards_of_buckets(sizes, shard_items)
+    placed_in = F.broadcast(spark.createDataFrame([*known, (-1, 0, max(shards, 1))], "bucket bigint, first bigint, parts bigint"))
+    shard = F.col("first") + F.pmod(F.xxhash64("key", "copy", "piece_no"), F.col("parts"))
+    sharded = found.join(placed_in, "bucket").select(F.when(F.col("bucket") < 0, -1 - shard).otherwise(shard).alias("shard"), *_ITEM.names[1:])
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def place(shard: int, rows: list[tuple]) -> Iterator[tuple]:
+            rows.sort(key=lambda r: (r[1] is None, r[1] or "", r[2]))
             if shard < 0:
                 for number, row in enumerate(rows):
                     yield -1 - (zlib.crc32(f"{shard}:{number}".encode())), (shard << 24) - number, 1, *row[1:5], b"", b""
                 return
-            rows.sort(key=lambda r: (r[1] is None, r[1] or "", r[2]))
             for number, chosen in enumerate(pack(*_arrays(rows), capacity)):
                 loose = sum(rows[i][4] for i in chosen) < LOOSE * capacity
                 for position, i in enumerate(chosen):
@@ -228,8 +343,7 @@ def pack_documents(documents: DataFrame, key: str, text: str, *, capacity: int,
         yield from to_batches(out(), _OUT)
 
     key_type = documents.schema[key].dataType.simpleString()
-    texts = documents.select(documents[key].cast("string").alias("key"), documents[text].cast("string").alias("text"))
-    sharded = texts.mapInArrow(items, _ITEM_SQL).repartition("shard").sortWithinPartitions("shard")
-    placed = sharded.mapInArrow(first_round, _PLACED_SQL).repartition("skey").sortWithinPartitions("skey")
+    by_shard = sharded.repartition("shard").sortWithinPartitions("shard")
+    placed = by_shard.mapInArrow(first_round, _PLACED_SQL).repartition("skey").sortWithinPartitions("skey")
     packed = placed.mapInArrow(second_round, _OUT_SQL)
     return packed.withColumn("key", packed["key"].cast(key_type)).withColumnRenamed("key", key)

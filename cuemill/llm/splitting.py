@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def pieces_pattern(size: int) -> str:
     """The pattern that matches pieces of at most ``size`` characters, the best boundary first.
 
     A paragraph, sentence or clause boundary must lie in the second half of the piece, so that pieces
     don't get small; white space or a punctuation mark may lie anywhere; failing all, any character,
-    though not between a letter and its combining marks unless there is no other place.
+    though not between a letter and its combining marks unless there is no other place. Sizes below 16
+    know only white space, punctuation and characters, as half a piece holds no sentence.
     """
     half = max(1, size // 2)
 

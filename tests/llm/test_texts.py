@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,56 @@ def test_packing_fills(spark):
     assert sum(r.n for r in rows) / (2048 * len(rows)) > 0.985
 
 
+def test_packing_whatever_the_partitions(spark):
+    """How the input is split and ordered changes nothing."""
+    documents = table(spark, data("sf0.01"), "documents").select("doc_id", "text")
+    pack = lambda frame: sorted(map(tuple, P.pack_documents(frame, "doc_id", "text", capacity=512, shard_items=200).collect()))
+    assert pack(documents.repartition(3, "doc_id")) == pack(documents.orderBy(F.desc("doc_id")).repartition(7))
+
+
+def test_packing_neighbours(spark):
+    """The neighbours of a document's shard are nearly as near as the nearest of all, and mostly these."""
+    documents = table(spark, data("sf0.01"), "documents")
+    shared = E.shared_model(documents)
+    centroids = P.fit_centroids(documents.select(F.col("doc_id").cast("string").alias("key"), "text"), shared, 2048, 1000, 64)
+    rows = E.encode_texts(documents, "doc_id", "text").where("size(ids) > 0").orderBy("doc_id").collect()
+    items = [P._terms(np.array(r.ids[:2048], np.int32)) for r in rows]
+    buckets = [centroids.bucket(*item) for item in items]
+    known, shards = P.shards_of_buckets(Counter(buckets), 256)
+    first = {bucket: shard for bucket, shard, _ in known}
+    shard = np.array([first[b] for b in buckets])
+    index = P.Index([t for t, _ in items], [c for _, c in items])
+    near, nearest, met = 0.0, 0.0, 0
+    for seed in range(0, len(items), 10):
+        score = index.scores(seed)
+        score[seed] = -1
+        inside = np.where(shard == shard[seed], score, -1)
+        best, mine = np.sort(score)[::-1][:10], np.sort(inside)[::-1][:10]
+        near, nearest, met = near + mine.clip(0).sum(), nearest + best.sum(), met + (mine >= best[-1]).sum()
+    assert shards >= 4 and near >= 0.95 * nearest and met >= 0.75 * len(items)
+
+
+def test_shards_of_buckets():
+    known, shards = P.shards_of_buckets({0: 3, 1: 4, 5: 25, 7: 10, 9: 1}, 10)
+    assert known == [(0, 0, 1), (1, 0, 1), (5, 1, 3), (7, 4, 1), (9, 5, 1)] and shards == 6
+    assert P.shards_of_buckets({}, 10) == ([], 0)
+
+
+def test_encoders_of_vocabularies(spark):
+    """Vocabularies of the same size in one worker have an encoder each."""
+    import os
+    import tempfile
+    from base64 import b64encode
+
+    got = []
+    for pair in (b"ab", b"bc"):
+        path = os.path.join(tempfile.mkdtemp(), "v.tiktoken")
+        with open(path, "wb") as out:
+            out.writelines(b64encode(t) + b" " + str(i).encode() + b"\n" for i, t in enumerate([*(bytes([b]) for b in range(256)), pair]))
+        got.append(E.encode_texts(spark.createDataFrame([(1, "abc")], "doc_id int, text string").coalesce(1), "doc_id", "text", path=path).first().ids)
+    assert got == [[256, 99], [97, 256]]
+
+
 def test_quality(spark):
     folder = data("sf0.01")
     types = Q.text_types(table(spark, folder, "documents"), table(spark, folder, "common_words"))
