@@ -20,11 +20,12 @@ CUE_TIMES_LOOSE = r"^\d{2}:\d{2}:\d{2}[,.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,.]\d{
 FRAME_COUNTS = r"^\{\d+\}\{\d+\}"
 CJK_MARKS = "[，。？！]"
 SENTENCE_ENDS = "[.!?。！？]"
-COMPLETE_ENDS = "[，。？！,.!?]$"
+COMPLETE_ENDS = r"[，。？！,.!?]\z"
+REPEATED = "\u4e00-\u9fa5。！？；：“”（）【】《》、"
 VIDEO_SUFFIXES = ["mp4", "avi", "mov", "mkv", "flv", "wmv", "m4v", "webm"]
 AUDIO_SUFFIXES = ["mp3", "flac", "aac", "ogg", "m4a", "opus"]
 TEXT_SUFFIXES = ["vtt", "srt", "ass", "ssa", "sub", "smi", "txt", "md", "markdown", "docx"]
-BATCH_SUFFIXES = ["mp4", "avi", "mov", "mkv", "webm", "mp3", "wav", "flac", "m4a", "aac"]
+BATCH_SUFFIXES = ["mp4", "avi", "mkv", "mov", "wmv", "mp3", "wav", "m4a", "ogg", "flac"]
 
 
 def strip(text: Column) -> Column:
@@ -45,7 +46,7 @@ def complete(sentence: Column) -> Column:
 
 def with_full_stop(text: Column) -> Column:
     """A text with a full stop after it unless it ends like a sentence."""
-    return F.when(text.rlike(f"{SENTENCE_ENDS}$"), text).otherwise(F.concat(text, F.lit("。")))
+    return F.when(text.rlike(rf"{SENTENCE_ENDS}\z"), text).otherwise(F.concat(text, F.lit("。")))
 
 
 def bare_sentences(text: Column) -> Column:
@@ -54,20 +55,21 @@ def bare_sentences(text: Column) -> Column:
     return F.when(F.size(parts) == 0, F.array(text)).otherwise(parts)
 
 
-def sentences_of(text: Column, cjk: Column) -> Column:
+def sentences_of(text: Column, cjk: Column, *, blank: bool = True) -> Column:
     """The sentences of a text with their ends, stripped and completed.
 
     In CJK mode a terminator ends a sentence wherever it stands, otherwise before white space only.
+    A sentence of nothing but white space is a lone comma, or left out unless ``blank``.
     """
     marked = F.when(cjk, F.regexp_replace(text, rf"({SENTENCE_ENDS}\p{{P}}*){WHITE}*", "$1\x01")).otherwise(F.regexp_replace(text, rf"({SENTENCE_ENDS}\p{{P}}*){WHITE}+", "$1\x01"))
     pieces = F.split(marked, "\x01", -1)
     kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(kept, lambda x: complete(strip(x))))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(kept if blank else F.filter(kept, lambda x: strip(x) != ""), lambda x: complete(strip(x))))
 
 
 def collapse_repeats(text: Column) -> Column:
     """A text with phrases of one to five CJK characters said several times in a row said once."""
-    return F.regexp_replace(text, r"([\x{4e00}-\x{9fa5}，。？！、：；]{1,5})(?:\s?\1)+", "$1")
+    return F.regexp_replace(text, rf"([{REPEATED}]{{1,5}})(?:{WHITE}?\1)+", "$1")
 
 
 def without_code(text: Column) -> Column:
@@ -93,7 +95,12 @@ def is_url(path: Column) -> Column:
 
 def input_kind(path: Column) -> Column:
     """url, media, text or unsupported, by how an input is written."""
-    return F.when(is_url(path), "url").when(suffix(path).isin(VIDEO_SUFFIXES + AUDIO_SUFFIXES), "media").when(suffix(path).isin(TEXT_SUFFIXES), "text").otherwise("unsupported")
+    return F.when(is_url(path), "url").when(_ends_in(path, VIDEO_SUFFIXES + AUDIO_SUFFIXES), "media").when(_ends_in(path, TEXT_SUFFIXES), "text").otherwise("unsupported")
+
+
+def _ends_in(path: Column, suffixes: list[str]) -> Column:
+    """Whether a path ends in a dot and one of the suffixes; nothing need stand before the dot."""
+    return F.lower(path).rlike(rf"\.(?:{'|'.join(suffixes)})\z")
 
 
 def is_batch_media(path: Column) -> Column:
@@ -102,8 +109,14 @@ def is_batch_media(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key by which numbers in names count as numbers."""
-    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(t)), "")
+    """A sort key by which numbers in names count as numbers, however long: their digits stand behind
+    the number of these, and before any other character."""
+
+    def part(t: Column) -> Column:
+        digits = F.regexp_replace(t, r"^0+(?=\d)", "")
+        return F.when(t.rlike(r"^\d"), F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1)), part), "")
 
 
 def plain_language(code: Column) -> Column:

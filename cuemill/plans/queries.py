@@ -36,8 +36,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# ---- SQL of the shared pieces -------------------------------------------------------------------
-W = X.WHITE
+# ---- SQL of the shared pieces: patterns and lists are written out, so that a wrong one of the library shows ----
+W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TIMES = r"\d{2}:\d{2}:\d{2}[,.]\d{3}"
+_ENDS = "[.!?。！？]"
+_MARKS = "[，。？！]"
+_MEDIA = "mp4|avi|mov|mkv|flv|wmv|m4v|webm|mp3|flac|aac|ogg|m4a|opus"
+_TEXTS = "vtt|srt|ass|ssa|sub|smi|txt|md|markdown|docx"
+_BATCH = "('mp4', 'avi', 'mkv', 'mov', 'wmv', 'mp3', 'wav', 'm4a', 'ogg', 'flac')"
 
 
 def strip(x: str) -> str:
@@ -47,7 +53,7 @@ def strip(x: str) -> str:
 
 def complete(x: str) -> str:
     """A comma after what has no punctuation at its end."""
-    return f"CASE WHEN regexp_matches({x}, '{X.COMPLETE_ENDS}') THEN {x} ELSE {x} || '，' END"
+    return f"CASE WHEN regexp_matches({x}, '[，。？！,.!?]\\z') THEN {x} ELSE {x} || '，' END"
 
 
 def clock(x: str) -> str:
@@ -86,8 +92,8 @@ PAIRS = "p AS (SELECT file_id AS source, pair_id AS para_index, min(text) AS par
 
 
 def parse_sql(form: str, simply: bool = False) -> str:
-    times = X.CUE_TIMES_LOOSE if simply else X.CUE_TIMES
-    classes = f"k AS (SELECT *, contains(x, '-->') AS loose, contains(x, '-->') AND regexp_matches(x, '{times}') AS strict, NOT contains(x, '-->') AND (contains(x, 'Dialogue:') OR regexp_matches(x, '{X.FRAME_COUNTS}')) AS talk, regexp_matches(x, '^[\\p{{Nd}}\\p{{No}}]+$') AS num FROM (SELECT *, {strip('line')} AS x FROM ln))"
+    times = rf"^{_TIMES}\s*-->\s*{_TIMES}" if simply else f"^{_TIMES} --> {_TIMES}"
+    classes = f"k AS (SELECT *, contains(x, '-->') AS loose, contains(x, '-->') AND regexp_matches(x, '{times}') AS strict, NOT contains(x, '-->') AND (contains(x, 'Dialogue:') OR regexp_matches(x, '^\\{{\\d+\\}}\\{{\\d+\\}}')) AS talk, regexp_matches(x, '^[\\p{{Nd}}\\p{{No}}]+$') AS num FROM (SELECT *, {strip('line')} AS x FROM ln))"
     so_far = "OVER (PARTITION BY source ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
     if simply:
         starts = f"""h AS (SELECT *, min(CASE WHEN loose THEN line_no END) OVER (PARTITION BY source, blk) AS head FROM (SELECT *, sum(CAST(num AS INT)) {so_far} AS blk FROM k)),
@@ -150,8 +156,8 @@ def detect_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sentences_sql(x: str) -> str:
-    e = X.SENTENCE_ENDS
-    marked = f"CASE WHEN regexp_matches({x}, '{X.CJK_MARKS}') THEN regexp_replace({x}, '({e}\\p{{P}}*){W}*', '\\1' || chr(1), 'g') ELSE regexp_replace({x}, '({e}\\p{{P}}*){W}+', '\\1' || chr(1), 'g') END"
+    e = _ENDS
+    marked = f"CASE WHEN regexp_matches({x}, '{_MARKS}') THEN regexp_replace({x}, '({e}\\p{{P}}*){W}*', '\\1' || chr(1), 'g') ELSE regexp_replace({x}, '({e}\\p{{P}}*){W}+', '\\1' || chr(1), 'g') END"
     return f"string_split({marked}, chr(1))"
 
 
@@ -181,11 +187,11 @@ def chunks_sql(n: int) -> str:
     cut = lambda z: f"CASE WHEN contains({z}, '.') THEN string_split({z}, '.')[1] ELSE string_split({z}, ',')[1] END"
     part = lambda i: cut(strip(f"string_split(timestamps, '-->')[{i}]"))
     return f"""WITH {CUES}, t AS (SELECT * FROM c WHERE {strip('content')} <> '' AND {strip('timestamps')} <> ''),
-s AS (SELECT *, list_filter(list_transform(string_split_regex(content, '{X.SENTENCE_ENDS}'), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM t),
+s AS (SELECT *, list_filter(list_transform(string_split_regex(content, '{_ENDS}'), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM t),
 e AS (SELECT source, cue_index, timestamps, i, l[i] AS sentence FROM (SELECT source, cue_index, timestamps, CASE WHEN len(l) = 0 THEN [content] ELSE l END AS l FROM s), unnest(range(1, len(l) + 1)) AS u(i)),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cue_index, i) AS rn, CASE WHEN contains(timestamps, '-->') THEN {part(1)} ELSE timestamps END AS a, CASE WHEN contains(timestamps, '-->') THEN {part(2)} ELSE timestamps END AS z FROM e),
 g AS (SELECT source, CAST((rn - 1) // {n} AS BIGINT) AS chunk_index, arg_min(a, rn) AS "start", arg_max(z, rn) AS "end", string_agg(sentence, '。' ORDER BY rn) AS content FROM r GROUP BY 1, 2)
-SELECT source, chunk_index, "start", "end", CASE WHEN regexp_matches(content, '{X.SENTENCE_ENDS}$') THEN content ELSE content || '。' END AS content FROM g"""
+SELECT source, chunk_index, "start", "end", CASE WHEN regexp_matches(content, '{_ENDS}\\z') THEN content ELSE content || '。' END AS content FROM g"""
 
 
 for _n in (2, 20):
@@ -332,8 +338,7 @@ query("cue_csv_plain", f"WITH {CUES} SELECT source, 'Timestamps,Content' || chr(
 _NAME = "regexp_extract(file_path, '([^/]*)$', 1)"
 _SUFFIX = f"lower(regexp_extract({_NAME}, '^\\.*[^.].*\\.([^.]*)$', 1))"
 _URL = "(starts_with(file_path, 'http://') OR starts_with(file_path, 'https://') OR starts_with(file_path, 'www.'))"
-_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
-_KIND = f"CASE WHEN {_URL} THEN 'url' WHEN {_SUFFIX} IN {_IN(X.VIDEO_SUFFIXES + X.AUDIO_SUFFIXES)} THEN 'media' WHEN {_SUFFIX} IN {_IN(X.TEXT_SUFFIXES)} THEN 'text' ELSE 'unsupported' END"
+_KIND = f"CASE WHEN {_URL} THEN 'url' WHEN regexp_matches(lower(file_path), '\\.({_MEDIA})\\z') THEN 'media' WHEN regexp_matches(lower(file_path), '\\.({_TEXTS})\\z') THEN 'text' ELSE 'unsupported' END"
 _FILES = "(SELECT DISTINCT file_id, CASE WHEN file_id % 5 = 0 THEN 'https://media.example' || file_path WHEN file_id % 7 = 0 THEN file_path || '.WAV' WHEN file_id % 11 = 0 THEN '/a/.hidden' ELSE file_path END AS file_path FROM files WHERE file_id IS NOT NULL)"
 
 
@@ -343,14 +348,14 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "files").where("file_id is not null").select("file_id", changed.alias("file_path")).distinct()
 
 
-@query("classify_inputs", f"SELECT file_id, file_path, {_KIND} AS kind, {_URL} AS is_url, {_SUFFIX} IN {_IN(X.BATCH_SUFFIXES)} AS batch_media, {_SUFFIX} AS suffix, regexp_replace({_NAME}, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS base_name FROM {_FILES}")
+@query("classify_inputs", f"SELECT file_id, file_path, {_KIND} AS kind, {_URL} AS is_url, {_SUFFIX} IN {_BATCH} AS batch_media, {_SUFFIX} AS suffix, regexp_replace({_NAME}, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS base_name FROM {_FILES}")
 def classify_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Inputs by kind, with suffix and base name."""
     path = F.col("file_path")
     return _files(spark, folder).select("file_id", "file_path", X.input_kind(path).alias("kind"), X.is_url(path).alias("is_url"), X.is_batch_media(path).alias("batch_media"), X.suffix(path).alias("suffix"), X.base_name(path).alias("base_name"))
 
 
-@query("natural_sort_sources", f"SELECT file_id, CAST(row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all({_NAME}, '(\\d+|\\D+)', 1), lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN lpad(t, 20, '0') ELSE t END), ''), file_id) AS BIGINT) AS place FROM {_FILES}")
+@query("natural_sort_sources", f"SELECT file_id, CAST(row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all({_NAME}, '(\\d+|\\D+)', 1), lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN chr(1) || lpad(CAST(length(regexp_replace(t, '^0+(\\d)', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(t, '^0+(\\d)', '\\1') ELSE t END), ''), file_id) AS BIGINT) AS place FROM {_FILES}")
 def natural_sort_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The place of files in natural order of their names."""
     keyed = _files(spark, folder).withColumn("k", X.natural_key(F.regexp_extract("file_path", r"([^/]*)$", 1)))
@@ -443,7 +448,7 @@ def combine_markdown_job(spark: SparkSession, folder: str) -> DataFrame:
     return R.job_document(rows.select("source", F.col("para_index").alias("ordinal"), F.concat(F.lit("Segment "), F.col("para_index").cast("string")).alias("title"), F.col("answer").alias("content")), "source")
 
 
-@query("combine_markdown_batch", f"WITH {PAIRS} SELECT source, string_agg('## ' || para_index || '_rewritten.md' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY lpad(CAST(para_index AS VARCHAR), 20, '0')) AS body FROM p WHERE answer IS NOT NULL GROUP BY 1")
+@query("combine_markdown_batch", f"WITH {PAIRS} SELECT source, string_agg('## ' || para_index || '_rewritten.md' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY para_index) AS body FROM p WHERE answer IS NOT NULL GROUP BY 1")
 def combine_markdown_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a batch in one document, in natural order."""
     rows = T.rewrite_paragraphs(spark, folder).where("answer is not null").withColumn("name", F.concat(F.col("para_index").cast("string"), F.lit("_rewritten.md")))
@@ -457,11 +462,11 @@ def compare_reports(spark: SparkSession, folder: str) -> DataFrame:
     return R.compare_report(M.compared(rows, "paragraph", "answer").select("source", "diff"))
 
 
-@query("string_functions", f"""WITH {CUES} SELECT source, cue_index, {strip('content')} AS stripped, {complete('content')} AS completed, CASE WHEN regexp_matches(content, '{X.SENTENCE_ENDS}$') THEN content ELSE content || '。' END AS stopped, regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '`[^`\\n]*`', '', 'g') AS uncoded, regexp_matches(content, '{X.CJK_MARKS}') AS cjk FROM c WHERE content IS NOT NULL AND NOT contains(content, chr(10))""")
+@query("string_functions", f"""WITH {CUES} SELECT source, cue_index, {strip('content')} AS stripped, {complete('content')} AS completed, CASE WHEN regexp_matches(content, '{_ENDS}\\z') THEN content ELSE content || '。' END AS stopped, regexp_replace(regexp_replace(content, '(?s)```.*?```', '', 'g'), '`[^`\\n]*`', '', 'g') AS uncoded, regexp_matches(content, '{_MARKS}') AS cjk FROM c WHERE content IS NOT NULL""")
 def string_functions(spark: SparkSession, folder: str) -> DataFrame:
     """Functions on the contents of cues."""
     c = F.col("content")
-    return T.unique_cues(spark, folder).where(c.isNotNull() & ~c.contains("\n")).select("source", "cue_index", X.strip(c).alias("stripped"), X.complete(c).alias("completed"), X.with_full_stop(c).alias("stopped"), X.without_code(c).alias("uncoded"), c.rlike(X.CJK_MARKS).alias("cjk"))
+    return T.unique_cues(spark, folder).where(c.isNotNull()).select("source", "cue_index", X.strip(c).alias("stripped"), X.complete(c).alias("completed"), X.with_full_stop(c).alias("stopped"), X.without_code(c).alias("uncoded"), c.rlike(X.CJK_MARKS).alias("cjk"))
 
 
 @query("model_names", "SELECT DISTINCT pair_id, CASE WHEN contains(llm, '/') THEN regexp_replace(llm, '^[^/]*/', '') ELSE llm END AS model FROM translations")

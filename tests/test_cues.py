@@ -130,3 +130,36 @@ def test_strings_and_times(spark):
     assert values(spark, X.suffix(F.col("t")), t="/a/.hidden") == ""
     assert values(spark, X.input_kind(F.col("t")), t="www.example.org/x.mp4") == "url"
     assert values(spark, X.model_name(F.col("t")), t="openai/a/b") == "a/b"
+
+
+@pytest.mark.parametrize("mark", list("。！？；：“”（）【】《》、") + ["一", "龥"])
+def test_collapsed_characters(spark, mark):
+    assert values(spark, X.collapse_repeats(F.col("t")), t=f"a{mark}{mark}　{mark}b") == f"a{mark}b"
+    assert values(spark, X.collapse_repeats(F.col("t")), t=f"a，，{mark}x{mark}") == f"a，，{mark}x{mark}"
+
+
+def test_ends_and_blank_sentences(spark):
+    assert values(spark, X.complete(F.col("t")), t="Hi.\n") == "Hi.\n，" and values(spark, X.complete(F.col("t")), t="Hi.") == "Hi."
+    assert values(spark, X.with_full_stop(F.col("t")), t="Hi.\n") == "Hi.\n。"
+    blank = spark.createDataFrame([("a", "   "), ("b", "你好。 　")], "source string, text string")
+    assert sorted((r.source, r.paragraph) for r in segment(blank, 10).collect()) == [("a", "，"), ("b", "你好。")]
+    assert sorted((r.source, r.paragraph) for r in segment(blank, 10, collapse=True).collect()) == [("b", "你好。")]
+
+
+def test_names_with_long_numbers(spark):
+    names = ["a9", "a10", "a0010b", f"a{10**23 + 1}", f"a{10**23 + 2}", f"a{10**24}", "a", "b", "a-"]
+    frame = spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n")))
+    assert [r.n for r in frame.collect()] == ["a", "a9", "a10", "a0010b", f"a{10**23 + 1}", f"a{10**23 + 2}", f"a{10**24}", "a-", "b"]
+
+
+def test_suffixes(spark):
+    assert [values(spark, X.is_batch_media(F.col("t")), t=f"x.{e}") for e in ("WMV", "ogg", "webm", "aac", "wav")] == [True, True, False, False, True]
+    assert [values(spark, X.input_kind(F.col("t")), t=t) for t in ("/a/.mp4", "/a/x.opus", "a.wav", "/a/x.markdown", "mp4")] == ["media", "media", "unsupported", "text", "unsupported"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_chunks_whatever_the_block(spark, block):
+    random.seed(5)
+    rows = [(f, i, "00:00:01.000 --> 00:00:02.000", " ".join(random.choice(["One.", "Two words!", "", "三。四。"]) for _ in range(random.randint(0, 4)))) for f in "ab" for i in range(40)]
+    got = timed_chunks(cue_frame(spark, rows), 3, block=block)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, timed_chunks(cue_frame(spark, rows), 3, block=10**6).collect()))
