@@ -14,10 +14,13 @@ from cuemill.operators import models as M
 from cuemill.operators import sentences as S
 from cuemill.operators import stats, timeline
 from cuemill.plans import jobs as J
+from cuemill.plans import pipeline as P
 from cuemill.plans import tables as T
-from cuemill.providers import EchoModel, ScriptDetector
-from cuemill.session import checkpoint, table
+from cuemill.providers import BytesFetcher, EchoModel, FailingModel, LinesDiarizer, ModelSettings, PlainDecoder, ScriptDetector, SettingsModel, SplitTranscriber, slice_lines
+from cuemill.session import checkpoint, scratch, table
 from cuemill.sinks import render as R
+from cuemill.sinks.files import docx_content, write_cue_table, write_documents
+from cuemill.sources.files import docx_column, read_cue_table, read_finished, read_subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,7 +89,7 @@ a2 AS (SELECT source, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM a),
 ln AS (SELECT source, i - 1 AS line_no, l[i] AS line FROM a2, unnest(range(1, len(l) + 1)) AS t(i))"""
 
 SEGMENTS = """tr AS (SELECT DISTINCT transcript_id AS source, coalesce(detected_language, 'und') AS language, segments FROM transcripts WHERE transcript_id IS NOT NULL),
-sg AS (SELECT source, language, i AS seg_no, 'S' || (i % 3) AS speaker, CAST(trunc(segments[i].start_s * 1000) AS BIGINT) AS start_ms, CAST(trunc(segments[i].end_s * 1000) AS BIGINT) AS end_ms, segments[i].text AS text FROM tr, unnest(range(1, len(segments) + 1)) AS t(i))"""
+sg AS (SELECT source, CASE i % 4 WHEN 0 THEN 'zh-CN' WHEN 2 THEN 'zh' ELSE language END AS language, i AS seg_no, 'S' || (i % 3) AS speaker, CAST(trunc(segments[i].start_s * 1000) AS BIGINT) AS start_ms, CAST(trunc(segments[i].end_s * 1000) AS BIGINT) AS end_ms, segments[i].text AS text FROM tr, unnest(range(1, len(segments) + 1)) AS t(i))"""
 
 PAIRS = "p AS (SELECT file_id AS source, pair_id AS para_index, min(text) AS paragraph, min(rewritten) AS answer FROM para_rewrites WHERE pair_id IS NOT NULL AND file_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2)"
 
@@ -149,7 +152,14 @@ def language_sample_head20(spark: SparkSession, folder: str) -> DataFrame:
     return C.language_sample(T.unique_cues(spark, folder))
 
 
-@query("detect_languages")
+_ALPHA = "length(regexp_replace(sample, '[^\\p{L}]', '', 'g'))"
+_RANGES = [("ja", "3040", "30ff"), ("zh", "4e00", "9fff"), ("ru", "0400", "04ff"), ("ar", "0600", "06ff"), ("hi", "0900", "097f"), ("th", "0e00", "0e7f")]
+_COUNTS = ", ".join(f"length(regexp_replace(sample, '[^\\x{{{a}}}-\\x{{{z}}}]', '', 'g'))" for _, a, z in _RANGES)
+
+
+@query("detect_languages", f"""WITH {CUES}, t AS (SELECT source, {_SAMPLE} AS sample FROM c WHERE cue_index < 20 AND content IS NOT NULL GROUP BY 1),
+n AS (SELECT source, sample, [{_COUNTS}] AS counts, {_ALPHA} AS letters FROM t)
+SELECT source, CASE WHEN list_max(counts) = 0 OR list_max(counts) * 2 < letters OR {strip('sample')} = '' THEN 'en' ELSE {[code for code, _, _ in _RANGES]}[list_position(counts, list_max(counts))] END AS language FROM n""")
 def detect_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The language of each file's sample by the stand-in detector."""
     return M.detect_languages(C.language_sample(T.unique_cues(spark, folder)), ScriptDetector()).select("source", "language")
@@ -392,15 +402,28 @@ def route_by_language(spark: SparkSession, folder: str) -> DataFrame:
 
 _JOB_FILES = "(SELECT DISTINCT file_id, channel_id, file_path, model_size FROM files WHERE file_id IS NOT NULL)"
 _BASE = "regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '^(\\.*[^.].*)\\.[^.]*$', '\\1')"
-_MODEL = "coalesce(CASE WHEN file_id % 3 = 0 THEN model_size END, CASE WHEN channel_id % 2 = 0 THEN 'base' END, 'large-v3')"
+_ITEMS = f"""f AS (SELECT *, coalesce(channel_id, -1) * 1000000 + file_id // 8 AS job_id FROM {_JOB_FILES}),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY file_id) - 1 AS input_no, CASE WHEN file_id % 3 = 0 THEN coalesce(model_size, 'large-v3') WHEN channel_id % 2 = 0 THEN 'base' ELSE 'large-v3' END AS transcribe_model FROM f),
+items AS (SELECT job_id, input_no, CAST(NULL AS BIGINT) AS segment_no, file_path AS input, CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS end_time, CAST(NULL AS VARCHAR) AS output_wav, CASE WHEN file_id % 4 = 1 THEN 'File ' || file_id ELSE {_BASE} END AS title, transcribe_model, CASE WHEN file_id % 3 = 0 THEN '5' END AS chunk_length, './out' AS output_dir FROM n WHERE file_id % 2 <> 0
+UNION ALL SELECT job_id, input_no, 0, file_path, '00:00:05', '00:01:00', NULL, 'Segment 1', transcribe_model, CASE WHEN file_id % 3 = 0 THEN '5' END, './out' FROM n WHERE file_id % 2 = 0
+UNION ALL SELECT job_id, input_no, 1, file_path, '00:01:00', '00:02:00', 'part.wav', 'part of ' || file_id, transcribe_model, CASE WHEN file_id % 3 = 0 THEN '5' END, './out' FROM n WHERE file_id % 2 = 0)"""
 
 
-@query("expand_jobs", f"""SELECT file_id AS job_id, CAST(0 AS BIGINT) AS input_no, CAST(NULL AS BIGINT) AS segment_no, file_path AS input, CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS end_time, CASE WHEN file_id % 4 = 1 THEN 'File ' || file_id ELSE {_BASE} END AS title, {_MODEL} AS transcribe_model, './out' AS output_dir FROM {_JOB_FILES} WHERE file_id % 2 <> 0
-UNION ALL SELECT file_id, 0, 0, file_path, '00:00:05', '00:01:00', 'Segment 1', {_MODEL}, './out' FROM {_JOB_FILES} WHERE file_id % 2 = 0
-UNION ALL SELECT file_id, 0, 1, file_path, '00:01:00', '00:02:00', 'part of ' || file_id, {_MODEL}, './out' FROM {_JOB_FILES} WHERE file_id % 2 = 0""")
+@query("expand_jobs", f"WITH {_ITEMS} SELECT * FROM items")
 def expand_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """Jobs as work items with their settings and titles."""
-    return J.expand_jobs(T.channel_jobs(spark, folder))
+    """Jobs of several inputs as work items with their settings and titles."""
+    items = J.expand_jobs(T.channel_jobs(spark, folder))
+    return items.withColumn("chunk_length", F.col("settings")["chunk_length"]).drop("settings")
+
+
+@query("job_documents", f"""WITH {_ITEMS}, r AS (SELECT *, CASE WHEN (input_no + coalesce(segment_no, 0)) % 3 = 1 THEN '' ELSE 'done ' || input END AS text, CASE WHEN input_no % 5 = 3 THEN '' WHEN input_no % 5 = 4 THEN NULL ELSE input END AS base_name FROM items)
+SELECT job_id, string_agg('# ' || title || chr(10) || chr(10) || text, chr(10) || '---' || chr(10) || chr(10) ORDER BY input_no, coalesce(segment_no, -1)) AS body FROM r WHERE text <> '' AND base_name <> '' GROUP BY 1""")
+def job_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of work items, those without text or base name left out, in a document a job."""
+    items = J.expand_jobs(T.channel_jobs(spark, folder))
+    n, s = F.col("input_no"), F.coalesce("segment_no", F.lit(0))
+    results = items.select("job_id", "input_no", "segment_no", F.when((n + s) % 3 == 1, "").otherwise(F.concat(F.lit("done "), "input")).alias("text"), F.when(n % 5 == 3, "").when(n % 5 == 4, None).otherwise(F.col("input")).alias("base_name"))
+    return J.job_documents(items, results)
 
 
 @query("clip_names", f"""SELECT file_id, CASE WHEN file_id % 2 = 0 AND file_id % 3 = 0 THEN 'cut.wav' WHEN file_id % 2 = 0 THEN {_BASE} || '_00:00:05-00:01:00.wav' ELSE {_BASE} || '.wav' END AS name FROM {_JOB_FILES}""")
@@ -411,10 +434,11 @@ def clip_names(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("file_id", J.clip_name(F.col("file_path"), F.when(ranged, "00:00:05"), F.when(ranged, "00:01:00"), F.when(n % 3 == 0, "cut.mp3")).alias("name"))
 
 
-@query("kept_results", f"WITH {PAIRS} SELECT source, para_index FROM p WHERE coalesce(answer, '') <> ''")
+@query("kept_results", f"WITH {PAIRS} SELECT source, para_index FROM p WHERE coalesce(answer, '') <> '' AND coalesce(CASE WHEN para_index % 7 = 0 THEN '' WHEN para_index % 11 = 0 THEN NULL ELSE CAST(source AS VARCHAR) END, '') <> ''")
 def kept_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Results that have a text."""
-    rows = T.rewrite_paragraphs(spark, folder).select("source", "para_index", F.col("answer").alias("text"), F.col("source").cast("string").alias("base_name"))
+    """Results that have a text and a base name."""
+    n = F.col("para_index")
+    rows = T.rewrite_paragraphs(spark, folder).select("source", n, F.col("answer").alias("text"), F.when(n % 7 == 0, "").when(n % 11 == 0, None).otherwise(F.col("source").cast("string")).alias("base_name"))
     return J.kept_results(rows).select("source", "para_index")
 
 
@@ -473,3 +497,151 @@ def string_functions(spark: SparkSession, folder: str) -> DataFrame:
 def model_names(spark: SparkSession, folder: str) -> DataFrame:
     """Models without their providers."""
     return table(spark, folder, "translations").select("pair_id", X.model_name(F.col("llm")).alias("model")).distinct()
+
+
+@query("model_failures", f"WITH {PAIRS} SELECT source, para_index, CASE WHEN {strip('paragraph')} = '' THEN paragraph WHEN contains(paragraph, '7') THEN NULL ELSE '[rewrite:English] ' || paragraph END AS answer, CASE WHEN {strip('paragraph')} = '' THEN 'skipped' WHEN contains(paragraph, '7') THEN 'error' ELSE 'ok' END AS status, CASE WHEN contains(paragraph, '7') THEN 'RuntimeError: the model failed' END AS error FROM p")
+def model_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that fails on some paragraphs: these have an error, all others their answers."""
+    return M.model_map(T.rewrite_paragraphs(spark, folder).drop("answer"), FailingModel(EchoModel(), "7"), "rewrite", "English").select("source", "para_index", "answer", "status", "error")
+
+
+@query("model_settings", f"WITH {PAIRS} SELECT source, para_index, CASE WHEN {strip('paragraph')} = '' THEN paragraph ELSE '[openai gpt-4 5000 600 0.2] ' || paragraph END AS answer FROM p")
+def model_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings as they reach the model."""
+    settings = ModelSettings("openai/gpt-4", 5000, 600, 0.2)
+    return M.model_map(T.rewrite_paragraphs(spark, folder).drop("answer"), SettingsModel(), "rewrite", "English", settings=settings).select("source", "para_index", "answer")
+
+
+_MEDIA_ROWS = "m AS (SELECT '/m/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.wav' ELSE '.mp3' END AS source, text FROM documents), l AS (SELECT source, i, string_split(text, chr(10))[i] AS line FROM m, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i))"
+_HAN = "CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END"
+_SILENT = "regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]', '', 'g') = ''"
+
+
+@query("transcribe_files", f"""WITH {_MEDIA_ROWS} SELECT source, {_HAN.replace('text', 'm.text')} AS language, l.i AS seg_no, 2000 * (l.i - 1) AS start_ms, 2000 * l.i AS end_ms, l.line AS text, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM m JOIN l USING (source)
+UNION ALL SELECT source, NULL, NULL, NULL, NULL, NULL, 'error', 'no content' FROM m WHERE text IS NULL""")
+def transcribe_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Media as segments of text; files that cannot be transcribed have an error."""
+    found = M.transcribed(T.text_media(spark, folder), SplitTranscriber())
+    said = M.transcript_segments(found).withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})
+    return said.unionByName(found.where("status = 'error'").select("source", "status", "error"), allowMissingColumns=True)
+
+
+@query("transcript_files_vtt", f"""WITH {_MEDIA_ROWS}, sg AS (SELECT source, i AS seg_no, 2000 * (i - 1) AS start_ms, 2000 * i AS end_ms, line AS text FROM l) SELECT source, 'WEBVTT' || chr(10) || ' ' || string_agg({_ROW} || text, ' ' ORDER BY seg_no) AS body FROM sg GROUP BY 1""")
+def transcript_files_vtt(spark: SparkSession, folder: str) -> DataFrame:
+    """Media transcribed and written as VTT."""
+    return R.transcript_vtt(M.transcript_segments(M.transcribed(T.text_media(spark, folder), SplitTranscriber())))
+
+
+@query("diarize_files", f"""WITH {_MEDIA_ROWS} SELECT l.source, 'SPEAKER_0' || ((l.i - 1) // 2 % 2) AS speaker, l.i - 1 AS turn_no, 2000 * (l.i - 1) AS start_ms, 2000 * l.i AS end_ms, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM m JOIN l USING (source) WHERE NOT {_SILENT.replace('text', 'm.text')}
+UNION ALL SELECT source, NULL, NULL, NULL, NULL, 'error', CASE WHEN text IS NULL THEN 'no content' ELSE 'ValueError: no sound' END FROM m WHERE text IS NULL OR {_SILENT}""")
+def diarize_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Who speaks when in media; files without sound have an error."""
+    return M.diarized(T.text_media(spark, folder), LinesDiarizer())
+
+
+@query("multi_speaker_segments", f"""WITH {_MEDIA_ROWS}, s AS (SELECT l.source, (l.i - 1) // 2 % 2 AS speaker, l.i, l.line FROM m JOIN l USING (source) WHERE NOT {_SILENT.replace('text', 'm.text')}),
+g AS (SELECT *, row_number() OVER (PARTITION BY source, speaker ORDER BY i) AS seg_no, CASE WHEN speaker = 1 THEN 'fr' WHEN bool_or(regexp_matches(line, '[\\x{{4e00}}-\\x{{9fff}}]')) OVER (PARTITION BY source, speaker) THEN 'zh' ELSE 'en' END AS language FROM s)
+SELECT source, language, count(*) AS n_segments, string_agg((2000 * (seg_no - 1)) || '-' || (2000 * seg_no) || ':' || line, '|' ORDER BY speaker, seg_no) AS segments FROM g GROUP BY 1, 2""")
+def multi_speaker_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Media of several speakers: told apart, joined by speaker, transcribed with hints, by language."""
+    rows = M.transcribed_by_speaker(T.text_media(spark, folder), LinesDiarizer(), SplitTranscriber(), {"SPEAKER_01": "fr"}, slicer=slice_lines)
+    grouped = timeline.segments_by_language(rows.where("status = 'ok'"))
+    text = F.array_join(F.transform("segments", lambda s: F.concat(s["start_ms"].cast("string"), F.lit("-"), s["end_ms"].cast("string"), F.lit(":"), s["text"])), "|")
+    return grouped.select("source", "language", "n_segments", text.alias("segments"))
+
+
+_FETCHED = "CASE WHEN file_id % 10 = 0 THEN 'https://x.invalid' || file_path ELSE file_path END"
+
+
+@query("fetch_inputs", f"SELECT path, CASE WHEN contains(path, '.invalid') THEN NULL ELSE path END AS content, CASE WHEN contains(path, '.invalid') THEN 'error' ELSE 'ok' END AS status, CASE WHEN contains(path, '.invalid') THEN 'OSError: no such host' END AS error FROM (SELECT {_FETCHED} AS path FROM {_FILES}) WHERE starts_with(path, 'http://') OR starts_with(path, 'https://') OR starts_with(path, 'www.')")
+def fetch_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Audio of the inputs that are addresses; those that cannot be fetched have an error."""
+    path = F.when(F.col("file_id") % 10 == 0, F.concat(F.lit("https://x.invalid"), "file_path")).otherwise(F.col("file_path"))
+    urls = _files(spark, folder).select(path.alias("path")).where(X.is_url(F.col("path")))
+    return M.fetched(urls, BytesFetcher()).withColumn("content", F.col("content").cast("string"))
+
+
+@query("decode_media", f"""WITH {_MEDIA_ROWS} SELECT source AS path, CASE WHEN source LIKE '%.wav' THEN text WHEN text <> '' THEN 'mp3:' || text END AS content, CASE WHEN text IS NULL OR (text = '' AND source LIKE '%.mp3') THEN 'error' ELSE 'ok' END AS status, CASE WHEN text IS NULL THEN 'no content' WHEN text = '' AND source LIKE '%.mp3' THEN 'ValueError: nothing to decode' END AS error FROM m""")
+def decode_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Media files as WAV data."""
+    return M.decoded(T.text_media(spark, folder), PlainDecoder()).withColumn("content", F.col("content").cast("string"))
+
+
+@query("misplaced_flags", f"""SELECT file_id, CASE WHEN {_KIND} NOT IN ('url', 'media') AND g <> '' THEN 'only for media and addresses: ' || g END AS error FROM (SELECT file_id, file_path, concat_ws(', ', CASE WHEN file_id % 2 = 0 THEN '--transcribe-model' END, CASE WHEN file_id % 3 = 0 THEN '--multi-language' END, CASE WHEN file_id % 4 = 1 THEN '--transcribe-lang' END) AS g FROM {_FILES})""")
+def misplaced_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Options of transcription given for inputs that are not transcribed."""
+    n = F.col("file_id")
+    error = J.misplaced_flags(F.col("file_path"), F.when(n % 2 == 0, "tiny").otherwise("large-v3"), n % 3 == 0, F.when(n % 4 == 1, "de"))
+    return _files(spark, folder).select("file_id", error.alias("error"))
+
+
+@query("batch_documents")
+def batch_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's media transcribed and rewritten, with an error where a step fails on one of them."""
+    return P.media_documents(T.text_media(spark, folder), SplitTranscriber(), FailingModel(EchoModel(), "7"), "rewrite", decoder=PlainDecoder())
+
+
+@query("docx_texts", f"""WITH b AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]', '', 'g'), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), lambda x: replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, coalesce(array_to_string(l, chr(10)), '') AS text FROM b""")
+def docx_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts written as DOCX and read again: a paragraph for each block."""
+    texts = table(spark, folder, "documents").where("text is not null").select("doc_id", docx_content(F.col("text")).alias("content"))
+    return texts.select("doc_id", docx_column(F.col("content"))["body"].alias("text"))
+
+
+@query("written_subtitles", parse_sql("vtt"))
+def written_subtitles(spark: SparkSession, folder: str) -> DataFrame:
+    """Subtitle files written to the shared folder, with a byte order mark, and read and parsed again."""
+    place = scratch(spark, "subtitles")
+    named = T.subtitle_bodies(spark, folder, "vtt").select(F.concat(F.lit("part"), (F.col("source") % 3).cast("string"), F.lit("/"), F.col("source").cast("string"), F.lit(".vtt")).alias("name"), F.concat(F.lit("\ufeff"), "body").alias("body"))
+    write_documents(named, place).count()
+    cues = C.parse_cues(C.explode_lines(read_subtitles(spark, f"{place}/*/*.vtt")))
+    return cues.withColumn("source", F.regexp_extract("source", r"(\d+)\.vtt$", 1).cast("bigint"))
+
+
+@query("written_batch", f"WITH {PAIRS} SELECT string_agg('## ' || para_index || '_rewritten.md' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY para_index) AS body FROM p WHERE answer IS NOT NULL")
+def written_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished documents written to the shared folder, and all in one in natural order."""
+    place = scratch(spark, "batch")
+    rows = T.rewrite_paragraphs(spark, folder).where("answer is not null")
+    named = rows.select(F.concat(F.col("para_index").cast("string"), F.lit("_rewritten.md")).alias("name"), F.col("answer").alias("body"))
+    other = rows.select(F.concat(F.col("para_index").cast("string"), F.lit("_academic.md")).alias("name"), F.lit("left out").alias("body"))
+    write_documents(named.unionByName(other), place).count()
+    found = read_finished(spark, place).withColumns({"name": F.regexp_extract("source", r"([^/]*)$", 1), "all": F.lit(1)})
+    return R.batch_document(found.select("all", X.natural_key(F.col("name")).alias("k"), "name", F.col("body").alias("content")), "all", "k").select("body")
+
+
+@query("written_cue_table", f"WITH {CUES} SELECT source, cue_index, timestamps, content FROM c")
+def written_cue_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Cues of all files written as CSV, a folder a file, and read again."""
+    place = scratch(spark, "cues")
+    write_cue_table(T.unique_cues(spark, folder), place)
+    return read_cue_table(spark, place)
+
+
+@query("combine_plain_batch", f"WITH {PAIRS} SELECT source, string_agg('## ' || para_index || '.mp4' || chr(10) || chr(10) || CASE WHEN coalesce(answer, '') <> '' THEN answer || chr(10) || chr(10) ELSE '' END, '' ORDER BY para_index) AS body FROM p GROUP BY 1")
+def combine_plain_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a batch in one document without rules; those without content by name only."""
+    rows = T.rewrite_paragraphs(spark, folder).withColumn("name", F.concat(F.col("para_index").cast("string"), F.lit(".mp4")))
+    return R.plain_batch_document(rows.select("source", X.natural_key(F.col("name")).alias("k"), "name", F.col("answer").alias("content")), "source", "k")
+
+
+_HEAD = "'# Academic Writing Comparison' || repeat(chr(10), 2) || 'This document shows the changes made during academic rewriting.' || repeat(chr(10), 2) || '## Legend:' || chr(10) || '- **Red text with strikethrough**: Deleted content' || chr(10) || '- **Green text**: Added content' || repeat(chr(10), 2) || '## Comparison:' || repeat(chr(10), 2)"
+
+
+def _grown(spark: SparkSession, folder: str) -> DataFrame:
+    rows = T.rewrite_paragraphs(spark, folder).select(F.col("para_index").alias("source"), X.strip(F.col("paragraph")).alias("before"))
+    return M.compared(rows.withColumn("after", F.concat(F.lit("zz "), "before")), "before", "after")
+
+
+@query("compare_grown", f"WITH {PAIRS} SELECT para_index AS source, {_HEAD} || '**zz** ' || {strip('paragraph')} AS body FROM p")
+def compare_grown(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports on texts with a word put before them."""
+    return R.compare_report(_grown(spark, folder).select("source", "diff"))
+
+
+@query("compare_documents", f"WITH {PAIRS} SELECT para_index AS source, '# Document Comparison' || repeat(chr(10), 2) || '**Original:** ' || para_index || '.docx' || chr(10) || '**Modified:** new.docx' || chr(10) || '**Date:** 2025-01-02 03:04:05' || repeat(chr(10), 2) || '## Changes' || repeat(chr(10), 2) || '**zz** ' || {strip('paragraph')} AS body FROM p")
+def compare_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports on two documents with their names and a date."""
+    rows = _grown(spark, folder).select("source", F.concat(F.col("source").cast("string"), F.lit(".docx")).alias("original"), F.lit("new.docx").alias("modified"), F.lit("2025-01-02 03:04:05").cast("timestamp").alias("date"), "diff")
+    return R.documents_report(rows)

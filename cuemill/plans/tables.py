@@ -35,10 +35,12 @@ def subtitle_bodies(spark: SparkSession, folder: str, form: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """source (transcript_id), language, seg_no, speaker, start_ms, end_ms, text of every transcript once."""
+    """source (transcript_id), language, seg_no, speaker, start_ms, end_ms, text of every transcript once.
+    Every other segment is in a form of Chinese, so that sources have several languages."""
     once = table(spark, folder, "transcripts").where("transcript_id is not null").dropDuplicates(["transcript_id"])
     rows = once.select(F.col("transcript_id").alias("source"), F.coalesce("detected_language", F.lit("und")).alias("language"), F.posexplode("segments").alias("pos", "s"))
-    return rows.select("source", "language", (F.col("pos") + 1).cast("bigint").alias("seg_no"), F.concat(F.lit("S"), ((F.col("pos") + 1) % 3).cast("string")).alias("speaker"), milliseconds(F.col("s.start_s")).alias("start_ms"), milliseconds(F.col("s.end_s")).alias("end_ms"), F.col("s.text").alias("text"))
+    fourth = (F.col("pos") + 1) % 4
+    return rows.select("source", F.when(fourth == 0, "zh-CN").when(fourth == 2, "zh").otherwise(F.col("language")).alias("language"), (F.col("pos") + 1).cast("bigint").alias("seg_no"), F.concat(F.lit("S"), ((F.col("pos") + 1) % 3).cast("string")).alias("speaker"), milliseconds(F.col("s.start_s")).alias("start_ms"), milliseconds(F.col("s.end_s")).alias("end_ms"), F.col("s.text").alias("text"))
 
 
 def rewrite_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,13 +50,26 @@ def rewrite_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def channel_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """A job per channel and suffix: its files as inputs, some with segments."""
+    """Jobs of the files of a channel with eight neighbouring ids: inputs in the order of ids, some with
+    segments and some with a recogniser of their own, which may be null."""
     files = table(spark, folder, "files").where("file_id is not null").dropDuplicates(["file_id"])
-    segment = lambda a, b, title: F.struct(F.lit(a).alias("start_time"), F.lit(b).alias("end_time"), title.alias("title"), F.lit(None).cast("string").alias("output_wav"))
-    two = F.array(segment(" 00:00:05", "00:01:00 ", F.lit(None).cast("string")), segment("00:01:00", "00:02:00", F.concat(F.lit("part of "), F.col("file_id").cast("string"))))
+    n = F.col("file_id")
+    segment = lambda a, b, title, wav: F.struct(F.lit(a).alias("start_time"), F.lit(b).alias("end_time"), title.alias("title"), wav.alias("output_wav"))
+    none = F.lit(None).cast("string")
+    two = F.array(segment(" 00:00:05", "00:01:00 ", none, none), segment("00:01:00", "00:02:00", F.concat(F.lit("part of "), n.cast("string")), F.lit("part.wav")))
     item = F.struct(
-        F.col("file_path").alias("input"), F.when(F.col("file_id") % 4 == 1, F.concat(F.lit("File "), F.col("file_id").cast("string"))).alias("title"), F.when(F.col("file_id") % 3 == 0, F.col("model_size")).alias("transcribe_model"),
-        F.when(F.col("file_id") % 2 == 0, two).otherwise(F.array().cast("array<struct<start_time: string, end_time: string, title: string, output_wav: string>>")).alias("segments"),
+        n.alias("n"), F.col("file_path").alias("input"), F.when(n % 4 == 1, F.concat(F.lit("File "), n.cast("string"))).alias("title"),
+        F.when(n % 3 == 0, F.create_map(F.lit("transcribe_model"), F.col("model_size"), F.lit("chunk_length"), F.lit("5"))).alias("settings"),
+        F.when(n % 2 == 0, two).otherwise(F.array().cast("array<struct<start_time: string, end_time: string, title: string, output_wav: string>>")).alias("segments"),
     )
-    grouped = files.groupBy(F.col("file_id").alias("job_id")).agg(F.array_sort(F.collect_list(item)).alias("inputs"), F.max("channel_id").alias("c"))
-    return grouped.select("job_id", F.lit("./out").alias("output_dir"), F.when(F.col("c") % 2 == 0, "base").alias("transcribe_model"), "inputs")
+    job = (F.coalesce("channel_id", F.lit(-1)) * 1_000_000 + F.floor(n / 8)).cast("bigint")
+    # A map cannot be sorted by: inputs are sorted by their number alone.
+    ordered = F.array_sort(F.collect_list(item), lambda a, b: (a["n"] - b["n"]).cast("int"))
+    grouped = files.groupBy(job.alias("job_id")).agg(F.transform(ordered, lambda x: x.dropFields("n")).alias("inputs"), F.max("channel_id").alias("c"))
+    settings = F.when(F.col("c") % 2 == 0, F.create_map(F.lit("output_dir"), F.lit("./out"), F.lit("transcribe_model"), F.lit("base"))).otherwise(F.create_map(F.lit("output_dir"), F.lit("./out")))
+    return grouped.select("job_id", settings.alias("settings"), "inputs")
+
+
+def text_media(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content: the documents' texts as the audio that the stand-ins for media understand."""
+    return table(spark, folder, "documents").select(F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".wav").otherwise(".mp3")).alias("path"), F.col("text").cast("binary").alias("content"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,23 +26,32 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "cuem
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder all executors share and go on from there.
-
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a session on one
-    machine that names none gets a temporary folder; a cluster without one is an error,
-    because a folder local to the driver would be lost with any executor.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Only a session on one machine
+    that names none gets a temporary folder, which is deleted when Python ends; a cluster without one is
+    an error, because a folder local to the driver would be lost with any executor."""
     context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isEmpty():
+        return found.get().rsplit("/", 1)[0]
     shared = context.getConf().get("spark.checkpoint.dir")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if shared:
-            context.setCheckpointDir(shared)
-        elif context.master.startswith("local[") or context.master == "local":
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-checkpoint-"))
-        else:
+    if not shared:
+        if not (context.master.startswith("local[") or context.master == "local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="cuemill-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
+    return shared
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the folder all executors share and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -67,11 +67,31 @@ def plain_markdown(answers: DataFrame) -> DataFrame:
     return answers.where("answer is not null").groupBy("source").agg(_ordered(["para_index"], F.col("answer"), "\n\n").alias("body"))
 
 
+# Heading and legend of the report of a rewriting.
+COMPARE_HEAD = """# Academic Writing Comparison
+
+This document shows the changes made during academic rewriting.
+
+## Legend:
+- **Red text with strikethrough**: Deleted content
+- **Green text**: Added content
+
+## Comparison:
+
+"""
+
+
 def compare_report(texts: DataFrame) -> DataFrame:
     """source, body: a report of changes with its legend. Input: source, diff."""
-    # Heading and legend of the report.
-    head = "# Comparison\n\n~~removed~~ **added**\n\n"
-    return texts.select("source", F.concat(F.lit(head), F.coalesce("diff", F.lit(""))).alias("body"))
+    return texts.select("source", F.concat(F.lit(COMPARE_HEAD), F.coalesce("diff", F.lit(""))).alias("body"))
+
+
+def documents_report(pairs: DataFrame) -> DataFrame:
+    """source, body: a report of what changed from one document to another. Input: source, original,
+    modified (their names), date (a timestamp), diff."""
+    name = lambda title, value: F.concat(F.lit(f"**{title}:** "), F.coalesce(value, F.lit("")), F.lit("\n"))
+    body = F.concat(F.lit("# Document Comparison\n\n"), name("Original", F.col("original")), name("Modified", F.col("modified")), name("Date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")), F.lit("\n## Changes\n\n"), F.coalesce("diff", F.lit("")))
+    return pairs.select("source", body.alias("body"))
 
 
 def job_document(items: DataFrame, key: str) -> DataFrame:
@@ -84,3 +104,10 @@ def batch_document(items: DataFrame, key: str, sort_key: str) -> DataFrame:
     Input: key, sort_key, name, content."""
     piece = F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"), F.col("content"), F.lit("\n\n---\n\n"))
     return items.groupBy(key).agg(_ordered([sort_key], piece, "").alias("body"))
+
+
+def plain_batch_document(items: DataFrame, key: str, sort_key: str) -> DataFrame:
+    """``key``, body: files under their names in the order of ``sort_key``, without rules; a file without
+    content has its name only. Input: key, sort_key, name, content."""
+    content = F.when(F.coalesce("content", F.lit("")) != "", F.concat("content", F.lit("\n\n"))).otherwise("")
+    return items.groupBy(key).agg(_ordered([sort_key], F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"), content), "").alias("body"))

@@ -91,3 +91,77 @@ def test_checkpoint_folder(spark, tmp_path):
     assert frame.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(str(tmp_path / "nothing"))
+
+
+def test_failures_are_rows(spark):
+    from cuemill.providers import BytesFetcher, EchoModel, FailingModel, LinesDiarizer, PlainDecoder, Request, SettingsModel, SplitTranscriber, slice_lines
+
+    paras = spark.createDataFrame([("s", i, t) for i, t in enumerate(["one", "bad x", None, " ", "two"])], "source string, para_index bigint, paragraph string").coalesce(1)
+    got = M.model_map(paras, FailingModel(EchoModel(), "x"), "rewrite", "English").orderBy("para_index").collect()
+    assert [(r.answer, r.status) for r in got] == [("[rewrite:English] one", "ok"), (None, "error"), (None, "skipped"), (" ", "skipped"), ("[rewrite:English] two", "ok")]
+    assert got[1].error == "RuntimeError: the model failed"
+
+    class Short:
+        def run(self, request, texts):
+            return []
+
+    assert {r.status for r in M.model_map(paras.where("para_index = 0"), Short(), "rewrite", "English").collect()} == {"error"}
+    assert SettingsModel().run(Request("rewrite", "German", ModelSettings("gemini/x", 7)), ["t"]) == ["[gemini x 7 3600 0.1] t"]
+    media = spark.createDataFrame([("a.mp3", bytearray(b"one\ntwo\nthree")), ("b.mp3", None), ("c.mp3", bytearray(b" "))], "path string, content binary")
+    assert {r.source: r.status for r in M.transcribed(media, SplitTranscriber()).collect()} == {"a.mp3": "ok", "b.mp3": "error", "c.mp3": "ok"}
+    assert {r.source: r.error for r in M.diarized(media, LinesDiarizer()).where("status = 'error'").collect()} == {"b.mp3": "no content", "c.mp3": "ValueError: no sound"}
+    said = M.transcribed_by_speaker(media.where("path = 'a.mp3'"), LinesDiarizer(), SplitTranscriber(), {"SPEAKER_01": "fr"}, slicer=slice_lines).orderBy("speaker", "seg_no").collect()
+    assert [(r.speaker, r.language, r.start_ms, r.text) for r in said] == [("SPEAKER_00", "en", 0, "one"), ("SPEAKER_00", "en", 2000, "two"), ("SPEAKER_01", "fr", 0, "three")]
+    assert [bytes(r.content) for r in M.decoded(media, PlainDecoder()).where("status = 'ok'").orderBy("path").collect()] == [b"mp3:one\ntwo\nthree", b"mp3: "]
+    urls = spark.createDataFrame([("http://a",), ("http://b.invalid",)], "path string")
+    assert {r.path: r.status for r in M.fetched(urls, BytesFetcher()).collect()} == {"http://a": "ok", "http://b.invalid": "error"}
+    assert M.model_map(paras.limit(0), EchoModel(), "rewrite", "English").count() == 0 and M.transcribed(media.limit(0), SplitTranscriber()).count() == 0
+
+
+def test_settings_of_providers():
+    from cuemill.providers import Request, preset
+
+    assert ModelSettings("Gemini/x").provider == "gemini" and preset("ollama").max_tokens == 130_000 and preset("gemini").endpoint.startswith("https://generativelanguage")
+    assert ModelSettings("openai/g").key({"OPENAI_API_KEY": "k"}) == "k" and ModelSettings("qwen3").key({}) is None
+    assert ModelSettings("gemini/g").key({"GOOGLE_API_KEY_JSON": "j"}) == "j"
+    for fails in (lambda: ModelSettings("openai/g").key({}), lambda: preset("none"), lambda: Request("sing", "x").instructions):
+        with pytest.raises(ValueError):
+            fails()
+    assert "95 %" in Request("rewrite", "German").instructions and "German" in Request("translate", "German").instructions
+
+
+def test_job_settings(spark):
+    texts = ["output_dir: out\ntimeout: 600\nmulti_language: false\ninput: /m/one.mp4\ninputs:\n  - input: /m/a.wav\n    timeout: 5\n    transcribe_model:\n    segments:\n      - title: T\n        output_wav: x.wav\ntranscribe_model: base\n"]
+    rows = J.expand_jobs(J.load_jobs(spark, texts)).orderBy("input_no").collect()
+    assert [(r.input, r.title, r.transcribe_model, r.output_wav) for r in rows] == [("/m/one.mp4", "one", "base", None), ("/m/a.wav", "T", "large-v3", "x.wav")]
+    assert rows[0].settings == {"output_dir": "out", "timeout": "600", "multi_language": "false", "transcribe_model": "base"} and rows[1].settings["timeout"] == "5"
+    flags = spark.createDataFrame([("a.vtt", "tiny", True, "de"), ("a.mp4", "tiny", True, "de"), ("a.vtt", "large-v3", False, None), (None, None, None, "de")], "p string, m string, s boolean, l string")
+    got = [r[0] for r in flags.select(J.misplaced_flags(F.col("p"), F.col("m"), F.col("s"), F.col("l"))).collect()]
+    assert got == ["only for media and addresses: --transcribe-model, --multi-language, --transcribe-lang", None, None, "only for media and addresses: --transcribe-lang"]
+
+
+def test_names_and_bad_files(spark, tmp_path):
+    from cuemill.sinks.files import unique_names
+    from cuemill.sources.files import read_finished
+
+    rows = spark.createDataFrame([("/a/t.vtt", "t.md", "one"), ("/b/t.vtt", "t.md", "two"), ("/b/u.vtt", "u.md", "three"), ("/c/v", "v", None)], "source string, name string, body string")
+    written = write_documents(unique_names(rows), str(tmp_path / "out")).collect()
+    names = sorted(os.path.basename(r.path) for r in written)
+    assert len(set(names)) == 4 and names[2:] == ["u.md", "v"] and all(n.startswith("t-") and n.endswith(".md") for n in names[:2])
+    nested = spark.createDataFrame([("x/t.md", bytearray(b"1")), ("../../y/t.md", bytearray(b"22"))], "name string, body binary")
+    assert sorted((r.path, r.bytes) for r in write_documents(nested, f"file://{tmp_path}/n").collect()) == [(f"file://{tmp_path}/n/x/t.md", 1), (f"file://{tmp_path}/n/y/t.md", 2)]
+    (tmp_path / "a_rewritten.md").write_text("a\nb")
+    (tmp_path / "b_bilingual.md").write_text("")
+    (tmp_path / "c_rewritten.md").write_bytes(b"\xff")
+    (tmp_path / "d_academic.md").write_text("d")
+    (tmp_path / "e 1+1_rewritten.md").write_text("")
+    assert sorted((os.path.basename(r.source), r.body, r.error) for r in read_finished(spark, str(tmp_path)).collect()) == [("a_rewritten.md", "a\nb", None), ("b_bilingual.md", "", None), ("c_rewritten.md", None, "not UTF-8"), ("e 1+1_rewritten.md", "", None)]
+
+
+def test_reports(spark):
+    report = R.compare_report(spark.createDataFrame([("s", "x")], "source string, diff string")).first().body
+    assert report.startswith("# Academic Writing Comparison\n\nThis document shows") and report.endswith("## Comparison:\n\nx")
+    rows = spark.createDataFrame([("s", "a.docx", "b.docx", "x")], "source string, original string, modified string, diff string").withColumn("date", F.lit("2025-05-06 07:08:09").cast("timestamp"))
+    assert R.documents_report(rows).first().body == "# Document Comparison\n\n**Original:** a.docx\n**Modified:** b.docx\n**Date:** 2025-05-06 07:08:09\n\n## Changes\n\nx"
+    files = spark.createDataFrame([("k", 1, "a.mp4", "said"), ("k", 2, "b.mp4", None)], "key string, n int, name string, content string")
+    assert R.plain_batch_document(files, "key", "n").first().body == "## a.mp4\n\nsaid\n\n## b.mp4\n\n"

@@ -67,3 +67,33 @@ def test_command_line(spark, tmp_path):
     assert (tmp_path / "out" / "a_rewritten.md").read_text().startswith("[rewrite:Chinese] ")
     with pytest.raises(SystemExit):
         main([])
+
+
+def test_batches(spark):
+    """One file that fails doesn't end the others."""
+    from cuemill.plans.pipeline import batch_document, formal_documents, media_documents
+    from cuemill.providers import FailingModel, PlainDecoder, SplitTranscriber
+    from cuemill.sources.files import docx_text
+
+    media = spark.createDataFrame([("/m/10.mp3", bytearray(b"Ten.")), ("/m/9.mp3", bytearray(b"Nine.")), ("/m/2.mp3", None), ("/m/3.mp3", bytearray(b"bad x")), ("/m/4.wav", bytearray(b""))], "path string, content binary")
+    finished = media_documents(media, SplitTranscriber(), FailingModel(EchoModel(), "x"), "rewrite", decoder=PlainDecoder()).cache()
+    got = {r.source: (r.status, r.error) for r in finished.collect()}
+    assert got["/m/10.mp3"] == ("ok", None) and got["/m/2.mp3"] == ("error", "no content") and got["/m/3.mp3"] == ("error", "RuntimeError: the model failed") and got["/m/4.wav"][0] == "error"
+    assert batch_document(finished).first().body == "## 9_rewritten.md\n\n[rewrite:Chinese] mp3:Nine.\n\n---\n\n## 10_rewritten.md\n\n[rewrite:Chinese] mp3:Ten.\n\n---\n\n"
+    bodies = spark.createDataFrame([("/x/a.md", "One. Two.")], "source string, body string")
+    formal = formal_documents(bodies, EchoModel()).first()
+    assert formal.docx_name == "a_academic.docx" and docx_text(bytes(formal.content)) == formal.body == "[academic:English] One.Two."
+
+
+def test_command_options(spark, tmp_path, capsys):
+    (tmp_path / "a.vtt").write_text(VTT)
+    (tmp_path / "c.yaml").write_text("max_tokens: 7\nlang: French\n")
+    options = ["tr", str(tmp_path / "a.vtt"), "-o", str(tmp_path / "out"), "-c", str(tmp_path / "c.yaml"), "--llm", "openai/x", "-tm", "0.5", "--provider", "cuemill.providers:SettingsModel"]
+    assert main(options) == 1
+    assert "# French\n[openai x 7 3600 0.5] Hello" in (tmp_path / "out" / "a_bilingual.md").read_text()
+    with pytest.raises(SystemExit, match="--multi-language"):
+        main(["rw", str(tmp_path / "a.vtt"), "-m"])
+    (tmp_path / "m.mp3").write_bytes(b"Said here.")
+    assert main(["rw", str(tmp_path / "m.mp3"), "-o", str(tmp_path / "out"), "--transcriber", "cuemill.providers:SplitTranscriber", "-s", "de"]) == 1
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    assert main(["ac", str(tmp_path / "bad.docx"), "-o", str(tmp_path / "out")]) == 0 and "failed:" in capsys.readouterr().out
