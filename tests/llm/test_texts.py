@@ -231,6 +231,38 @@ def test_long_refusals():
     assert not B.is_refusal(thai + "ไม่ได้รับอนุญาต" + thai, source)
 
 
+def test_learned_refusals(spark):
+    """Of the refusals that only left-out phrases know, learned ones find a part, and no sound answers."""
+    rows = B.pairs_of(table(spark, data("sf0.1"), "translations"), table(spark, data("sf0.1"), "para_rewrites")).where("answer is not null").select("source", "answer").distinct().collect()
+    pairs = [(r.source, r.answer) for r in rows]
+    texts = [(B._squeezed(s or ""), B._squeezed(B.unwrapped(a))) for s, a in pairs]
+    every = [B.is_refusal(a, s) for s, a in texts]
+    whole, known = B.REFUSALS, list(B._AUTOMATA)
+    try:
+        random.seed(1)
+        B.REFUSALS = {n: [p for p in phrases if random.random() < 0.5] for n, phrases in whole.items()}
+        B._AUTOMATA.clear()
+        half = [B.is_refusal(a, s) for s, a in texts]
+        learned = B.automaton_of(B.learn_refusals(pairs))
+        told = [B.is_refusal(a, s, learned) for s, a in texts]
+    finally:
+        B.REFUSALS, B._AUTOMATA[:] = whole, known
+    unseen = [t for t, e, h in zip(told, every, half, strict=True) if e and not h]
+    assert len(unseen) > 30 and sum(unseen) >= 0.15 * len(unseen)
+    assert sum(t and not e for t, e in zip(told, every, strict=True)) <= 0.01 * sum(every)
+    assert B.learn_refusals([]) == [] and B.automaton_of([]) is None
+
+
+def test_copied_share():
+    random.seed(8)
+    for _ in range(200):
+        source = "".join(random.choice("abc") for _ in range(60))
+        answer = "".join(random.choice("abcd") for _ in range(30))
+        for share in (0.1, 0.5, 0.9):
+            assert B.is_copied(source, answer, share, 3) == (B.copied_share(source, answer, 3) >= share)
+    assert B.copied_share("", "a") == B.copied_share("a", "") == 0.0
+
+
 def test_suffix_automaton():
     random.seed(5)
     for _ in range(100):
