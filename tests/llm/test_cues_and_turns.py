@@ -152,6 +152,15 @@ def test_turns(spark, block):
     assert sorted((r.item_type, r.item_id, r.first_no, r.last_no, r.speaker) for r in got.collect()) == sorted(wanted)
 
 
+def test_captions_meet_speakers_by_block(spark):
+    """Captions are joined to speakers by item and block, and shuffled by that alone before the windows."""
+    empty = spark.createDataFrame([], "transcript_id bigint, file_id bigint, segments array<struct<start_s: double, end_s: double, text: string>>")
+    speakers = spark.createDataFrame([(1, "SPEAKER_00", "Ann Lee")], SPEAKERS)
+    plan = speaker_turns(captions_of(cues(spark, [(1, 0, None, "x")]), empty), speakers)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.split("\n") if "ShuffledHashJoin" in line and "LeftOuter" in line)
+    assert "blk" in join and "BroadcastHashJoin" not in plan
+
+
 def test_turns_of_transcripts(spark):
     segments = [{"start_s": 9.0, "end_s": 9.5, "text": "and back"}, {"start_s": 1.0, "end_s": 2.0, "text": "Ann: hi"}, {"start_s": 3.0, "end_s": 4.0, "text": None}, {"start_s": 5.0, "end_s": 6.0, "text": "维尔姆：你好"}]
     rows = [(7, 1, segments), (7, 1, segments), (None, 1, segments), (8, 1, None)]

@@ -160,6 +160,28 @@ def test_languages(spark):
     assert empty.count() == 0 and L.main_languages(empty).count() == 0
 
 
+def test_main_and_foreign_parts(spark, monkeypatch):
+    """Items of many blocks, rejected parts and ties, without any join on the item alone."""
+    monkeypatch.setattr(L, "BLOCK", 4)
+
+    def cosines(**near):
+        return bytearray(np.array([near.get(code, 0.0) * L.FINE for code in L.LANGUAGES]).astype(">u2").tobytes())
+
+    en, ru = cosines(en=0.9, ru=0.1), cosines(en=0.1, ru=0.9)
+    rows = [("file", 1, i, "en", 0.8, 50, en) for i in range(20)] + [("file", 1, 21, "ru", 0.9, 50, ru), ("file", 1, 22, None, 0.5, 50, en)]
+    rows += [("document", 2, 1, None, 0.5, 9, en), ("document", 3, 1, "ru", 0.9, 30, ru), ("document", 3, 2, "en", 0.7, 30, en), ("document", 4, 1, "en", 0.75, 9, en)]
+    parts = spark.createDataFrame(rows, "item_type string, item_id bigint, part_no bigint, lang string, confidence float, size int, cosines binary")
+    mains = L.main_languages(parts)
+    got = {(r.item_type, r.item_id): (r.main, round(r.confidence, 4)) for r in mains.collect()}
+    assert got == {("file", 1): ("en", round(20 * 0.8 / 22, 4)), ("document", 2): (None, 0.0), ("document", 3): ("en", 0.35), ("document", 4): ("en", 0.75)}
+    foreign = L.foreign_parts(parts, mains)
+    assert sorted((r.item_id, r.part_no, r.lang) for r in foreign.collect()) == [(1, 21, "ru"), (3, 1, "ru")]
+    labels = spark.createDataFrame([("document", 2, "fr"), ("document", 3, "EN"), ("document", 4, "de")], "item_type string, item_id bigint, label string")
+    assert [r.item_id for r in L.label_cases(mains, labels).collect()] == [4]
+    joins = [line for line in foreign._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line]
+    assert joins and all("blk" in line for line in joins)
+
+
 STOPWORDS = {"the": ["en"], "is": ["en"], "and": ["en"], "der": ["de"], "ist": ["de"], "und": ["de"], "le": ["fr"], "est": ["fr"], "el": ["es"], "y": ["es"]}
 
 
