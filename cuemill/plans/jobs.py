@@ -90,6 +90,11 @@ def kept_results(results: DataFrame) -> DataFrame:
     return results.where((F.coalesce("text", F.lit("")) != "") & (F.coalesce("base_name", F.lit("")) != ""))
 
 
+def chosen_input(path: Column, url: Column) -> Column:
+    """What is read where a file and an address are given: the address, unless it is blank."""
+    return F.when(strip(F.coalesce(url, F.lit(""))) != "", strip(url)).otherwise(path)
+
+
 def routed(inputs: DataFrame, path: str = "path", subcommand: str | None = None) -> DataFrame:
     """Adds kind, route and error to inputs: media are transcribed first; with a subcommand all go to
     it; without one transcripts go by language and .docx, .txt and .md to the formal register."""

@@ -93,6 +93,8 @@ sg AS (SELECT source, CASE i % 4 WHEN 0 THEN 'zh-CN' WHEN 2 THEN 'zh' ELSE langu
 
 PAIRS = "p AS (SELECT file_id AS source, pair_id AS para_index, min(text) AS paragraph, min(rewritten) AS answer FROM para_rewrites WHERE pair_id IS NOT NULL AND file_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2)"
 
+TRANSLATIONS = "p AS (SELECT file_id AS source, pair_id AS para_index, min(english_text) AS paragraph, min(translate_language) AS target FROM translations WHERE pair_id IS NOT NULL AND file_id IS NOT NULL AND english_text IS NOT NULL GROUP BY 1, 2)"
+
 
 def parse_sql(form: str, simply: bool = False) -> str:
     times = rf"^{_TIMES}\s*-->\s*{_TIMES}" if simply else f"^{_TIMES} --> {_TIMES}"
@@ -152,14 +154,17 @@ def language_sample_head20(spark: SparkSession, folder: str) -> DataFrame:
     return C.language_sample(T.unique_cues(spark, folder))
 
 
-_ALPHA = "length(regexp_replace(sample, '[^\\p{L}]', '', 'g'))"
 _RANGES = [("ja", "3040", "30ff"), ("zh", "4e00", "9fff"), ("ru", "0400", "04ff"), ("ar", "0600", "06ff"), ("hi", "0900", "097f"), ("th", "0e00", "0e7f")]
-_COUNTS = ", ".join(f"length(regexp_replace(sample, '[^\\x{{{a}}}-\\x{{{z}}}]', '', 'g'))" for _, a, z in _RANGES)
 
 
-@query("detect_languages", f"""WITH {CUES}, t AS (SELECT source, {_SAMPLE} AS sample FROM c WHERE cue_index < 20 AND content IS NOT NULL GROUP BY 1),
-n AS (SELECT source, sample, [{_COUNTS}] AS counts, {_ALPHA} AS letters FROM t)
-SELECT source, CASE WHEN list_max(counts) = 0 OR list_max(counts) * 2 < letters OR {strip('sample')} = '' THEN 'en' ELSE {[code for code, _, _ in _RANGES]}[list_position(counts, list_max(counts))] END AS language FROM n""")
+def detected_sql(x: str) -> str:
+    """The language of a text by the script that most of its letters have."""
+    counts = "[" + ", ".join(f"length(regexp_replace({x}, '[^\\x{{{a}}}-\\x{{{z}}}]', '', 'g'))" for _, a, z in _RANGES) + "]"
+    letters = f"length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g'))"
+    return f"CASE WHEN list_max({counts}) = 0 OR list_max({counts}) * 2 < {letters} OR {strip(x)} = '' THEN 'en' ELSE {[code for code, _, _ in _RANGES]}[list_position({counts}, list_max({counts}))] END"
+
+
+@query("detect_languages", f"WITH {CUES}, t AS (SELECT source, {_SAMPLE} AS sample FROM c WHERE cue_index < 20 AND content IS NOT NULL GROUP BY 1) SELECT source, {detected_sql('sample')} AS language FROM t")
 def detect_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The language of each file's sample by the stand-in detector."""
     return M.detect_languages(C.language_sample(T.unique_cues(spark, folder)), ScriptDetector()).select("source", "language")
@@ -393,11 +398,19 @@ def route_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return J.routed(_files(spark, folder), "file_path").select("file_id", "kind", "route", "error")
 
 
-@query("route_by_language", "SELECT DISTINCT pair_id, translate_language, CASE WHEN coalesce(english_text, '') <> '' AND regexp_matches(english_text, '^[\\x{4e00}-\\x{9fff}]') AND lower(translate_language) = 'chinese' THEN 'rewrite' ELSE 'translate' END AS route FROM translations")
+@query("route_by_language", f"WITH {TRANSLATIONS}, d AS (SELECT *, {detected_sql('paragraph')} AS language FROM p) SELECT source, para_index, language, target, CASE WHEN language = 'zh' AND lower(target) = 'chinese' THEN 'rewrite' ELSE 'translate' END AS route FROM d")
 def route_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts by language and target: rewrite or translate."""
-    detected = F.when(F.col("english_text").rlike(r"^[\x{4e00}-\x{9fff}]"), "zh").otherwise("en")
-    return table(spark, folder, "translations").select("pair_id", "translate_language", J.transcript_route(detected, F.col("translate_language")).alias("route")).distinct()
+    """Texts by the language heard and the one wanted: rewrite or translate."""
+    heard = M.detect_languages(T.translation_paragraphs(spark, folder), ScriptDetector(), "paragraph")
+    return heard.select("source", "para_index", "language", "target", J.transcript_route(F.col("language"), F.col("target")).alias("route"))
+
+
+@query("chosen_inputs", f"SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'https://x.example/' || file_id ELSE file_path END AS input FROM {_FILES}")
+def chosen_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses before files where both are given."""
+    n = F.col("file_id")
+    url = F.when(n % 3 == 0, F.concat(F.lit(" https://x.example/"), n.cast("string"))).when(n % 3 == 1, "  ")
+    return _files(spark, folder).select("file_id", J.chosen_input(F.col("file_path"), url).alias("input"))
 
 
 _JOB_FILES = "(SELECT DISTINCT file_id, channel_id, file_path, model_size FROM files WHERE file_id IS NOT NULL)"
@@ -445,10 +458,10 @@ def kept_results(spark: SparkSession, folder: str) -> DataFrame:
 _ECHO = lambda task, lang: f"CASE WHEN {strip('paragraph')} = '' THEN paragraph ELSE '[{task}:{lang}] ' || paragraph END"
 
 
-@query("translate_bilingual", f"WITH {PAIRS} SELECT source, string_agg('# English' || chr(10) || paragraph || chr(10) || chr(10) || '# Chinese' || chr(10) || {_ECHO('translate', 'Chinese')} || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY para_index) AS body FROM p GROUP BY 1")
+@query("translate_bilingual", f"WITH {TRANSLATIONS} SELECT source, string_agg('# English' || chr(10) || paragraph || chr(10) || chr(10) || '# Chinese' || chr(10) || {_ECHO('translate', 'Chinese')} || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY para_index) AS body FROM p GROUP BY 1")
 def translate_bilingual(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs beside their translations by the stand-in model."""
-    return R.bilingual_markdown(M.model_map(T.rewrite_paragraphs(spark, folder), EchoModel(), "translate", "Chinese"), "Chinese")
+    return R.bilingual_markdown(M.model_map(T.translation_paragraphs(spark, folder), EchoModel(), "translate", "Chinese"), "Chinese")
 
 
 for _task, _language in (("rewrite", "Chinese"), ("academic", "English")):

@@ -49,6 +49,12 @@ def rewrite_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("file_id").alias("source"), F.col("pair_id").alias("para_index")).agg(F.min("text").alias("paragraph"), F.min("rewritten").alias("answer"))
 
 
+def translation_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """source (file_id), para_index (pair_id), paragraph, target of every text to translate once."""
+    rows = table(spark, folder, "translations").where("pair_id is not null and file_id is not null and english_text is not null")
+    return rows.groupBy(F.col("file_id").alias("source"), F.col("pair_id").alias("para_index")).agg(F.min("english_text").alias("paragraph"), F.min("translate_language").alias("target"))
+
+
 def channel_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Jobs of the files of a channel with eight neighbouring ids: inputs in the order of ids, some with
     segments and some with a recogniser of their own, which may be null."""
