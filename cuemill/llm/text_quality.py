@@ -215,7 +215,8 @@ def learn(patterns: dict[int, int], rounds: int = 60, strength: float = 0.02) ->
     """Priors of the types and the rates at which functions fire on them, by expectation-maximization.
 
     The start is that a function fires on most texts of its type and few others. That start also acts
-    as a share ``strength`` of all documents (at least 20), so that rare types keep their meaning.
+    as a share ``strength`` of all documents (at least 20), so that rare types keep their meaning:
+    left to the data alone, lists of names drift towards junk.
     """
     bits = np.array([[p >> j & 1 for j in range(len(FUNCTIONS))] for p in patterns], float).reshape(-1, len(FUNCTIONS))
     weight = np.array(list(patterns.values()), float)
