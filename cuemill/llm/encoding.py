@@ -7,15 +7,17 @@ decoding is the inverse mapping.
 
 Scale: no shuffle; each row is encoded on its own in Arrow batches. The vocabulary (a few MB, fixed)
 is read on the driver and broadcast, so executors need no files. The memory of a worker is bounded:
-its table of pre-tokens starts anew when it holds ``MEMORY`` entries.
+its table of pre-tokens starts anew when it holds more than ``MEMORY`` entries or 16 times as many ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,35 @@ def bpe_model(tokens: list[bytes]) -> bytes:
     return b"".join(parts)
 
 
+def ascii_pattern(pattern: str) -> str | None:
+    """A pattern with Unicode properties and white space spelled out as ASCII characters, so that the
+    standard library, which is faster, matches the same in ASCII texts; None if it can't take it."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        escape = _ESCAPE.match(pattern, i)
+        piece = escape.group() if escape else pattern[i]
+        i += len(piece)
+        if piece in ("\\s", "\\S") or piece.startswith("\\p"):
+            if inside and piece == "\\S":
+                return None
+            matched = "".join(f"\\x{c:02x}" for c in range(128) if regex.match(r"\s" if piece == _NO_SPACE else piece, chr(c)))
+            out.append(matched if inside else f"[{'^' if piece == _NO_SPACE else ''}{matched}]")
+            continue
+        if escape and piece[1].isalpha():
+            return None
+        inside = piece == "[" or (inside and piece != "]")
+        out.append(piece)
+    try:
+        re.compile("".join(out))
+    except re.error:
+        return None
+    return "".join(out)
+
+
+_ESCAPE = re.compile(r"\\(?:p\{\w+\}|.)", re.S)
+_NO_SPACE = "\\S"
+
+
 class Encoder:
     """Encodes texts with a serialised model; remembers the ids of pre-tokens."""
 
@@ -108,59 +139,55 @@ class Encoder:
         self._processor = sentencepiece.SentencePieceProcessor()
         self._processor.LoadFromSerializedProto(model)
         self._split = regex.compile(pattern).findall
+        ascii_only = ascii_pattern(pattern)
+        self._split_ascii = re.compile(ascii_only).findall if ascii_only else self._split
         self._symbols = str.maketrans({chr(b): symbol for b, symbol in enumerate(byte_symbols())})
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
-        self._ids: list[list[int]] = []
+        # By number: how many ids, where they begin, and all ids one behind the other.
+        self._sizes = self._firsts = np.zeros(0, np.int64)
+        self._values = np.zeros(0, np.int32)
 
     def _encode(self, pretokens: list[str]) -> list[list[int]]:
         mapped = [p.encode().decode("latin-1").translate(self._symbols) for p in pretokens]
         return self._processor.Encode(mapped, num_threads=1)
 
-    def numbers(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """For each text the numbers of its pre-tokens, and the ids by number."""
-        if len(self._number) > MEMORY:
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """The numbers of all pre-tokens of texts, and how many each text has."""
+        if len(self._sizes) > MEMORY or len(self._values) > 16 * MEMORY:
             self._forget()
-        split = [self._split(text) if text else [] for text in texts]
+        split = [(self._split_ascii(text) if text.isascii() else self._split(text)) if text else () for text in texts]
+        pretokens = list(chain.from_iterable(split))
         known = self._number
-        fresh = list({p: None for pretokens in split for p in pretokens if p not in known})
+        numbers = list(map(known.get, pretokens))
+        fresh = list(dict.fromkeys([p for p, n in zip(pretokens, numbers, strict=True) if n is None]))
         if fresh:
-            for pretoken, ids in zip(fresh, self._encode(fresh), strict=True):
-                known[pretoken] = len(self._ids)
-                self._ids.append(ids)
-        out = [[known[p] for p in pretokens] for pretokens in split], self._ids
-        for pretoken in fresh:
-            if len(pretoken) > LONGEST_REMEMBERED:
-                del known[pretoken]
-        return out
+            known |= zip(fresh, range(len(self._sizes), len(self._sizes) + len(fresh)), strict=True)
+            lists = self._encode(fresh)
+            sizes = np.array(list(map(len, lists)), np.int64)
+            self._firsts = np.concatenate([self._firsts, len(self._values) + np.cumsum(sizes) - sizes])
+            self._sizes = np.concatenate([self._sizes, sizes])
+            self._values = np.concatenate([self._values, np.array(list(chain.from_iterable(lists)), np.int32)])
+            numbers = list(map(known.__getitem__, pretokens))
+            for pretoken in fresh:
+                if len(pretoken) > LONGEST_REMEMBERED:
+                    del known[pretoken]
+        return np.array(numbers, np.int64), list(map(len, split))
 
     def ids(self, text: str | None) -> list[int]:
         """The ids of one text; none for null and empty."""
-        (numbers,), by_number = self.numbers([text])
-        return [i for n in numbers for i in by_number[n]]
+        return self.batch_ids([text])[0].as_py()
 
     def batch_ids(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of texts as an Arrow array of lists."""
-        numbers, by_number = self.numbers(texts)
-        flat = np.fromiter((n for text in numbers for n in text), np.int64)
-        used, place = np.unique(flat, return_inverse=True) if len(flat) else (flat, flat)
-        lists = [by_number[n] for n in used.tolist()]
-        sizes = np.fromiter((len(ids) for ids in lists), np.int64, len(lists))
-        values = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-        lengths = sizes[place] if len(flat) else flat
+        numbers, amounts = self._numbers(texts)
+        lengths = self._sizes[numbers]
         ends = np.cumsum(lengths)
-        where = np.repeat(firsts[place] - (ends - lengths), lengths) + np.arange(int(ends[-1])) if len(flat) else flat
+        where = np.repeat(self._firsts[numbers] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         token_ends = np.concatenate([[0], ends])
-        text_ends = np.cumsum([0] + [len(text) for text in numbers])
-        return pa.ListArray.from_arrays(pa.array(token_ends[text_ends].astype(np.int32)), pa.array(values[where] if len(flat) else values))
-
-    def batch_sizes(self, texts: list[str | None]) -> list[int]:
-        """The numbers of ids of texts."""
-        numbers, by_number = self.numbers(texts)
-        return [sum([len(by_number[n]) for n in text]) for text in numbers]
+        return pa.ListArray.from_arrays(pa.array(token_ends[np.cumsum([0, *amounts])].astype(np.int32)), pa.array(self._values[where]))
 
 
 def decode(tokens: list[bytes], ids: list[int]) -> str:

@@ -35,6 +35,42 @@ def test_encoding(spark):
     assert E.encode_texts(texts(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_ascii_pattern():
+    """The standard library's pattern matches the same in ASCII texts, controls included."""
+    import re
+
+    import regex
+
+    public, own = regex.compile(E.pretoken_pattern()).findall, re.compile(E.ascii_pattern(E.pretoken_pattern())).findall
+    random.seed(2)
+    for _ in range(3000):
+        text = "".join(random.choice("ab' s12\n\t\x1c.") if random.random() < 0.5 else chr(random.randrange(128)) for _ in range(40))
+        assert own(text) == public(text)
+    assert E.ascii_pattern(r"[\S]") is None and E.ascii_pattern(r"\bx") is None
+
+
+def test_memory_of_encoders(monkeypatch):
+    """An encoder that forgets gives the same ids."""
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b" ab"]
+    encoder = E.Encoder(E.bpe_model(tokens), E.pretoken_pattern())
+    texts = ["ab ab", None, "é 你好 ab", "x" * 100, "ab"]
+    wanted = encoder.batch_ids(texts).to_pylist()
+    monkeypatch.setattr(E, "MEMORY", 2)
+    assert [encoder.batch_ids(texts).to_pylist() for _ in range(3)] == [wanted] * 3 and encoder.ids("ab ab") == wanted[0] == [256, 257]
+
+
+def test_index_without_used_items():
+    """Leaving used items out of the index changes no score of the others."""
+    random.seed(3)
+    items = [P._terms(np.array([random.randrange(40) for _ in range(12)], np.int32)) for _ in range(50)]
+    whole, less = (P.Index([t for t, _ in items], [c for _, c in items]) for _ in range(2))
+    free = np.array([random.random() < 0.5 for _ in items])
+    less.keep(free)
+    less.keep(free)
+    for seed in range(50):
+        assert np.array_equal(np.where(free, whole.scores(seed), 0), less.scores(seed))
+
+
 def test_best_subset():
     random.seed(3)
     for _ in range(50):
