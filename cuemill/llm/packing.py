@@ -71,6 +71,12 @@ class Index:
         ends = np.cumsum([len(t) for t in terms]) if self.n else np.zeros(0, np.int64)
         self._numbers = [number[e - len(t) : e] for e, t in zip(ends, terms, strict=True)]
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leaves the postings of unwanted items out, which then score 0; weights stay as they are."""
+        kept = wanted[self._items]
+        self._starts = np.concatenate([[0], np.cumsum(kept)])[self._starts]
+        self._items, self._weights = self._items[kept], self._weights[kept]
+
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every item for the terms of ``seed``."""
         numbers = self._numbers[seed]
@@ -104,6 +110,7 @@ def pack(sizes: list[int], terms: list[np.ndarray], counts: list[np.ndarray], ca
     index = Index(terms, counts)
     free = np.ones(n, bool)
     containers: list[list[int]] = []
+    indexed = n
     for seed in np.argsort(-size, kind="stable").tolist():
         if not free[seed] or (size[seed] == 0 and containers):
             continue
@@ -111,6 +118,9 @@ def pack(sizes: list[int], terms: list[np.ndarray], counts: list[np.ndarray], ca
         chosen, space = [seed], int(capacity - size[seed])
         fits = free & (size <= space) & (size > 0)
         if fits.any():
+            if (left := int(free.sum())) < 0.75 * indexed:
+                index.keep(free)
+                indexed = left
             score = index.scores(seed)
             near = np.flatnonzero(fits)
             near = near[np.argsort(-score[near], kind="stable")]
