@@ -97,3 +97,18 @@ def test_command_options(spark, tmp_path, capsys):
     assert main(["rw", str(tmp_path / "m.mp3"), "-o", str(tmp_path / "out"), "--transcriber", "cuemill.providers:SplitTranscriber", "-s", "de"]) == 1
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     assert main(["ac", str(tmp_path / "bad.docx"), "-o", str(tmp_path / "out")]) == 0 and "failed:" in capsys.readouterr().out
+
+
+def test_writes_clips(spark, tmp_path):
+    """Clips are written under the names that jobs give them; those that fail are told, not written."""
+    from pyspark.sql import functions as F
+
+    from cuemill.plans.jobs import clip_name
+    from cuemill.sinks.files import write_documents
+
+    rows = spark.createDataFrame([("/m/a.wav", "00:00:01", "00:00:02", None, bytearray(wav(3000))), ("/m/b.wav", None, None, "x.wav", bytearray(b"x"))], "path string, s string, e string, wav string, content binary")
+    named = rows.select(clip_name(F.col("path"), F.col("s"), F.col("e"), F.col("wav")).alias("name"), "content", F.lit(1000).alias("start_ms"), F.lit(2000).alias("end_ms"))
+    cut = clips(named).cache()
+    assert [r.name for r in cut.where("error is not null").collect()] == ["b.wav"]
+    assert write_documents(cut.where("error is null"), str(tmp_path), body="content").count() == 1
+    assert samples((tmp_path / "a_00:00:01-00:00:02.wav").read_bytes()) == list(range(1000, 2000))
