@@ -4,14 +4,15 @@ Method: the answer walks through a suffix automaton of the source, which measure
 copied; automata of known and of learned refusal phrases, a stack of delimiters and votes of stopwords
 and scripts tell the other defects. One defect per pair, the first that fits of ``DEFECTS``.
 
-Refusals also come in words that no list holds. Phrases are learned from a bounded sample of pairs
-(``SAMPLE``, by a hash of their ids), labelled by the known phrases: those that are far more usual in
-refusals than in other answers. An answer that learned phrases cover by half, and its source not, is
-a refusal too; found ones teach more phrases once.
-
-Scale: pairs are judged in the scan's own partitions. Only pair ids and defects are shuffled, to
-count a pair delivered twice once. How long answers usually are, by kind and languages, is one small
-aggregate over all pairs (at most some hundred rows).
+Refusals also come in words that no list holds. Phrases are learned from all pairs, labelled by the
+known phrases: those that are far more usual in refusals than in other answers. An answer that learned
+phrases cover by half, and its source not, is a refusal too; found ones teach more phrases once.
+
+Scale: pairs are judged in the scan's own partitions, and the judgements written with the texts once;
+learning reads these. Phrases of refusals are counted by a shuffle, and looked for in other answers
+``CANDIDATES`` at a time. Else only pair ids with defects or phrase numbers are shuffled, to count a pair
+delivered twice once. How long answers usually are, by kind and languages, is an exact median: ratios are
+counted by a shuffle, the different ones of a kind sorted. The learned phrases are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -21,22 +22,24 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 from typing import NamedTuple
+from uuid import uuid4
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuemill.llm.captions import _is_filler, _STARTS, _UNSPACED_FILLER
 from cuemill.llm.lexicon import LANGUAGE_NAMES, language_of_label
 from cuemill.llm.streams import to_batches
-from cuemill.session import checkpoint
+from cuemill.session import scratch
 
-#: Pairs, about, in the sample from which refusal phrases are learned.
-SAMPLE = 20_000
+#: Phrases of refusals that are looked for in other answers at a time; more take more turns.
+CANDIDATES = 200_000
 #: In how many refusals a learned phrase must be, and how much more usual it must be there than elsewhere.
 FEWEST, ODDS = 3, 20
 #: The share of an answer that learned phrases must cover, and of its source that they may.
@@ -243,6 +246,7 @@ def _stripped(text: str) -> str:
     return text[begin:end]
 
 
+@lru_cache(maxsize=8)
 def unwrapped(answer: str) -> str:
     """An answer without tags, fences, quotation marks around it and headings before it."""
     text = _TAG.sub("", answer) if "<" in answer else answer
@@ -295,6 +299,7 @@ def _refusal_phrases(plain: str) -> list[tuple[int, int, int, str]]:
     return [(last + 1 - len(phrase.casefold()), last + 1, points, phrase) for last, (points, phrase) in _AUTOMATA[0].iter(plain)]
 
 
+@lru_cache(maxsize=8)
 def _squeezed(text: str) -> str:
     return " ".join(text.replace("’", "'").casefold().split())
 
@@ -351,8 +356,13 @@ def automaton_of(phrases: Iterable[str]):
 
 def covered(text: str, automaton) -> float:
     """The share of a squeezed text that an automaton's phrases cover."""
+    return _share(automaton.iter(text), text)
+
+
+def _share(found: Iterable[tuple[int, int]], text: str) -> float:
+    """The share of a text that phrases found at (last letter, length) cover."""
     total = until = 0
-    for begin, end in sorted((last + 1 - length, last + 1) for last, length in automaton.iter(text)):
+    for begin, end in sorted((last + 1 - length, last + 1) for last, length in found):
         total += max(0, end - max(begin, until))
         until = max(until, end)
     return total / max(1, len(text))
@@ -360,7 +370,7 @@ def covered(text: str, automaton) -> float:
 
 def learn_refusals(pairs: list[tuple[str | None, str | None]], rounds: int = 2) -> list[str]:
     """Phrases of refusals out of (source, answer) of pairs, labelled by the known phrases first and by
-    what was learned then."""
+    what was learned then. ``learn_from`` does the same over a table."""
     texts = [(_squeezed(source or ""), _squeezed(unwrapped(answer))) for source, answer in pairs if answer]
     declines = [is_refusal(answer, source) for source, answer in texts]
     phrases: list[str] = []
@@ -378,8 +388,135 @@ def learn_refusals(pairs: list[tuple[str | None, str | None]], rounds: int = 2)
     return phrases
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SENT: list = [None, None]
+
+
+def _sent(phrases) -> object:
+    """The automaton of a broadcast (mark, phrases), built once a worker."""
+    mark, words = phrases.value
+    if _SENT[0] != mark:
+        _SENT[:] = mark, automaton_of(words)
+    return _SENT[1]
+
+
+def _needed(phrases: list[str]) -> list[str]:
+    """Phrases without those that shorter ones of them cover wholly wherever they stand; what the others
+    cover of any text is the same."""
+    every = automaton_of(phrases)
+    out = []
+    for phrase in phrases:
+        until = 0
+        for begin, end in sorted((last + 1 - length, last + 1) for last, length in every.iter(phrase) if length < len(phrase)):
+            if begin > until:
+                break
+            until = max(until, end)
+        if until < len(phrase):
+            out.append(phrase)
+    return out
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """op, pair_id and phrase of each phrase in answers."""
+    schema = pa.schema([(n, pa.string()) for n in ("op", "pair_id", "phrase")])
+    rows = ((op, pair_id, gram) for batch in batches for op, pair_id, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True) for gram in _grams(plain))
+    yield from to_batches(rows, schema)
+
+
+def _look(texts: DataFrame, phrases: list[str], before, turns: int) -> DataFrame:
+    """op, pair_id, no (a refusal by known phrases or by those of ``before``) and hits of each answer: the numbers
+    of the phrases in it, if it is none. With plain, source and open of answers that phrases of ``turns``
+    such looks may cover enough."""
+    sent = texts.sparkSession.sparkContext.broadcast(phrases)
+    schema = pa.schema([("op", pa.string()), ("pair_id", pa.string()), ("no", pa.bool_()), ("hits", pa.list_(pa.int32())), ("plain", pa.string()), ("source", pa.string()), ("open", pa.bool_())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers_of = {phrase: i for i, phrase in enumerate(sent.value)}
+        known = automaton_of(sent.value)
+
+        def rows() -> Iterator[tuple]:
+            learned = _sent(before) if before else None
+            for batch in batches:
+                for op, pair_id, refused, plain, source, may_be in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = [] if refused else list(known.iter(plain))
+                    no = refused or _told_by(plain, source, learned)
+                    hits = [] if no else list({numbers_of[plain[last + 1 - n : last + 1]] for last, n in found})
+                    yield op, pair_id, no, hits, *((plain, source, may_be) if found and turns * _share(found, plain) >= COVERED - 1e-9 else (None, None, None))
+
+        yield from to_batches(rows(), schema)
+
+    rows = texts.select("op", "pair_id", "refused", "plain", F.coalesce("source", F.lit("")), "open")
+    return _saved(rows.mapInArrow(work, "op string, pair_id string, no boolean, hits array<int>, plain string, source string, open boolean"), "looked")
+
+
+def _telling(looked: DataFrame, candidates: list[tuple[str, int]]) -> list[str]:
+    """Those of candidates, with the number of refusals they are in, that are far more usual in refusals
+    than elsewhere."""
+    pairs = looked.groupBy("op", "pair_id").agg(F.max("no").alias("no"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    # -1 counts the other answers, -2 the refusals.
+    ids = F.when(F.col("no"), F.array(F.lit(-2))).otherwise(F.concat("hits", F.array(F.lit(-1))))
+    outside = {r.id: r["count"] for r in pairs.select(F.explode(ids).alias("id")).groupBy("id").count().collect()}
+    rare = ODDS * outside.get(-2, 0) / max(1, outside.get(-1, 0))
+    return [phrase for i, (phrase, n) in enumerate(candidates) if n >= rare * (outside.get(i, 0) + 0.5)]
+
+
+def _told(texts: DataFrame, phrases) -> DataFrame:
+    """The answers that learned phrases tell to be refusals."""
+    schema = pa.schema([("op", pa.string()), ("pair_id", pa.string()), ("plain", pa.string()), ("source", pa.string()), ("open", pa.bool_())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            learned = _sent(phrases)
+            for batch in batches:
+                yield from (row for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _told_by(row[2], row[3], learned))
+
+        yield from to_batches(rows(), schema)
+
+    return _saved(texts.mapInArrow(work, "op string, pair_id string, plain string, source string, open boolean"), "told")
+
+
+def learn_from(texts: DataFrame, rounds: int = 2) -> tuple[list[str], DataFrame | None]:
+    """The phrases that ``learn_refusals`` learns, out of all rows of a table, without those that others
+    cover, and the answers that only they tell to be refusals (none of no phrases).
+
+    ``texts`` has op, pair_id, source, plain (the squeezed answer, never null), refused (by the known phrases)
+    and open (whether learned phrases may decide). A pair delivered twice counts once.
+    """
+    phrases: list[str] = []
+    refusals = texts.where("refused").select("op", "pair_id", "plain")
+    told = before = None
+    for _ in range(rounds):
+        declined = refusals if told is None else refusals.unionByName(told.select("op", "pair_id", "plain"))
+        counted = declined.mapInArrow(_grams_of, "op string, pair_id string, phrase string").distinct().groupBy("phrase").count().where(F.col("count") >= FEWEST)
+        inside = _saved(counted, "phrases")
+        turns = -(-inside.count() // CANDIDATES)
+        phrases, looks = [], []
+        for turn in range(turns):
+            candidates = [tuple(r) for r in inside.where(F.pmod(F.xxhash64("phrase"), F.lit(turns)) == turn).collect()]
+            if not candidates:
+                continue
+            looks.append(_look(texts, [phrase for phrase, _ in candidates], before, turns))
+            phrases += _telling(looks[-1], candidates)
+        if not phrases:
+            return [], None
+        phrases = sorted(_needed(phrases))
+        before = texts.sparkSession.sparkContext.broadcast((uuid4().hex, phrases))
+        covered_ones = reduce(DataFrame.unionByName, looks).where("plain is not null").select("op", "pair_id", "plain", "source", "open")
+        told = _told(covered_ones if turns == 1 else covered_ones.distinct(), before)
+        if told.isEmpty():  # nothing that would change in another round
+            break
+    return phrases, told
+
+
 def _told_by(answer: str, source: str, learned) -> bool:
-    return learned is not None and covered(answer, learned) >= COVERED and covered(source, learned) < COVERED_SOURCE
+    """Whether learned phrases cover an answer, squeezed already, and not its source."""
+    return learned is not None and covered(answer, learned) >= COVERED and covered(_squeezed(source), learned) < COVERED_SOURCE
 
 
 def is_refusal(answer: str, source: str, learned=None) -> bool:
@@ -393,7 +530,7 @@ def is_refusal(answer: str, source: str, learned=None) -> bool:
     plain = _squeezed(answer)
     phrases = _refusal_phrases(plain)
     points = _points(phrases)
-    if learned is not None and _told_by(plain, _squeezed(source), learned):
+    if learned is not None and _told_by(plain, source, learned):
         return True
     if points < 2 or refusal_points(source) >= 2:
         return False
@@ -708,28 +845,39 @@ def broken_pairs(pairs: DataFrame, common_words: DataFrame) -> DataFrame:
     stopwords = stopwords_of(common_words)
     key_type = pairs.schema["pair_id"].dataType.simpleString()
     schema = pa.schema(
-        [("op", pa.string()), ("pair_id", pa.string()), ("defect", pa.string()), ("language", pa.string()), ("target", pa.string()), ("ratio", pa.float64()), *[(n, pa.bool_()) for n in ("long", "marked", "fewer", "unfinished", "usual")]]
+        [(n, pa.string()) for n in ("op", "pair_id", "defect", "language", "target")] + [("ratio", pa.float64())] + [(n, pa.bool_()) for n in ("long", "marked", "fewer", "unfinished", "usual")] + [("source", pa.string()), ("plain", pa.string()), ("refused", pa.bool_()), ("open", pa.bool_())]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            learned = automaton_of(phrases.value)
             for batch in batches:
                 for op, pair_id, source, answer, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield op, pair_id, *judge_alone(op, source, answer, label, stopwords, learned)
+                    found = judge_alone(op, source, answer, label, stopwords)
+                    plain = unwrapped(answer) if answer else ""
+                    yield op, pair_id, *found, source, _squeezed(plain) if answer else None, found.defect == "refusal", found.defect != "empty" and bool(key_of(plain))
 
         yield from to_batches(rows(), schema)
 
-    texts = pairs.select(F.xxhash64("op", "pair_id").alias("h"), "source", "answer").where("answer is not null")
-    share = min(1 << 20, (SAMPLE << 20) // max(1, pairs.count()))
-    sample = texts.where(F.pmod("h", F.lit(1 << 20)) < share).groupBy("h").agg(F.min(F.struct("source", "answer")).alias("p")).orderBy("h").select("p.*").collect()
-    phrases = pairs.sparkSession.sparkContext.broadcast(learn_refusals([(r.source, r.answer) for r in sample]))
-
-    fields = "op string, pair_id string, defect string, language string, target string, ratio double, long boolean, marked boolean, fewer boolean, unfinished boolean, usual boolean"
-    judged = checkpoint(pairs.select("op", F.col("pair_id").cast("string").alias("pair_id"), *_PAIR_COLUMNS[2:]).mapInArrow(work, fields))
-    # Usual lengths are of pairs whose answer's known language is the target: at most 2 * 11 * 10 rows.
-    medians = judged.where("usual").groupBy("op", "language", "target").agg(F.percentile_approx("ratio", 0.5, 1000).alias("median"))
+    fields = "op string, pair_id string, defect string, language string, target string, ratio double, long boolean, marked boolean, fewer boolean, unfinished boolean, usual boolean, source string, plain string, refused boolean, open boolean"
+    judged = _saved(pairs.select("op", F.col("pair_id").cast("string").alias("pair_id"), *_PAIR_COLUMNS[2:]).mapInArrow(work, fields), "judged")
+    _, told = learn_from(judged.where("plain is not null"))
+    if told is not None:
+        also = told.where("open").select("op", "pair_id", "plain", "source", F.lit(True).alias("told")).distinct()
+        same = [judged[c].eqNullSafe(also[c]) for c in ("op", "pair_id")] + [judged["plain"] == also["plain"], F.coalesce(judged["source"], F.lit("")) == also["source"]]
+        judged = judged.join(also, same, "left").select(*(judged[c] for c in judged.columns), "told")
+        no = F.col("open") & F.col("told").isNotNull()
+        judged = judged.withColumns({"defect": F.when(no, "refusal").otherwise(F.col("defect")), "usual": F.col("usual") & ~no})
+    medians = usual_ratios(judged.where("usual"))
     size = F.col("ratio") / F.coalesce("median", F.lit(1.0))
     cut_off = F.col("marked") | (F.col("long") & (size < 0.5)) | ((size < 0.82) & (F.col("unfinished") | ((size < 0.66) & F.col("long") & F.col("fewer"))))
-    told = judged.join(F.broadcast(medians), ["op", "language", "target"], "left").withColumn("defect", F.coalesce("defect", F.when(cut_off, "truncated")))
-    return told.where("defect is not null").groupBy("op", "pair_id").agg(F.min("defect").alias("defect")).select("op", F.col("pair_id").cast(key_type).alias("pair_id"), "defect")
+    told_of = judged.join(F.broadcast(medians), ["op", "language", "target"], "left").withColumn("defect", F.coalesce("defect", F.when(cut_off, "truncated")))
+    return told_of.where("defect is not null").groupBy("op", "pair_id").agg(F.min("defect").alias("defect")).select("op", F.col("pair_id").cast(key_type).alias("pair_id"), "defect")
+
+
+def usual_ratios(ratios: DataFrame) -> DataFrame:
+    """The median of ratio by op, language and target, exactly: the first that half of the rows do not
+    exceed. These are at most 2 * 11 * 10 rows."""
+    kind = ["op", "language", "target"]
+    so_far = Window.partitionBy(*kind).orderBy("ratio").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = ratios.groupBy(*kind, "ratio").agg(F.count(F.lit(1)).alias("n")).withColumns({"_up_to": F.sum("n").over(so_far), "_all": F.sum("n").over(Window.partitionBy(*kind))})
+    return counted.where("2 * _up_to >= _all").groupBy(*kind).agg(F.min("ratio").alias("median"))

@@ -311,6 +311,39 @@ def test_learned_refusals(spark):
     assert B.learn_refusals([]) == [] and B.automaton_of([]) is None
 
 
+def test_refusals_are_learned_from_all_pairs(spark):
+    """Five refusals among 60 000 pairs teach their other words, and usual lengths are exact medians."""
+    pairs = spark.range(60_000).select(F.lit("translate").alias("op"), F.col("id").alias("pair_id"), F.concat(F.lit("Der Ofen "), "id").alias("source"), F.concat(F.lit("The kiln "), "id").alias("answer"), F.lit("English").alias("label"))
+    declining = "The quorn of this brolk stays glimbed, so the frawn must wend."
+    known = spark.range(60_000, 60_005).select(F.lit("translate"), "id", F.lit("Der Ofen"), F.lit("I am unable to help with that, and I must decline this one. " + declining), F.lit("English"))
+    told = spark.range(60_005, 60_006).select(F.lit("translate"), "id", F.lit("Der Ofen"), F.lit(declining), F.lit("English"))
+    got = {(r.pair_id, r.defect) for r in B.broken_pairs(pairs.union(known).union(told), spark.createDataFrame([("en", "the")], "lang string, word string")).where("pair_id >= 60000").collect()}
+    assert got == {(i, "refusal") for i in range(60_000, 60_006)}
+    ratios = spark.range(200_001).select(F.lit("x").alias("op"), F.lit("de").alias("language"), F.lit("en").alias("target"), (F.col("id") / 7).alias("ratio"))
+    assert [r.median for r in B.usual_ratios(ratios).collect()] == [100_000 / 7]
+
+
+@pytest.mark.parametrize("at_a_time", [7, 200_000])
+def test_learning_over_a_table(spark, monkeypatch, at_a_time):
+    """A table, rows given twice, teaches the phrases that a list teaches; those left out cover nothing more."""
+    monkeypatch.setattr(B, "CANDIDATES", at_a_time)
+    random.seed(4)
+    words = ["mill", "kiln", "river", "stone", "old", "gone"]
+    pairs = [(" ".join(random.choices(words, k=6)), " ".join(random.choices(words + ["brolk", "quorn"], k=6))) for _ in range(300)]
+    for other in ("the quorn of this brolk", "quorn of frawn wend", "this brolk stays glimbed"):
+        pairs += [("old mill", f"i cannot help with that {other}")] * 4 + [("old stone", f"{other} {other} now")]
+        pairs += [("old kiln", f"{other} stays here now")]
+    rows = [("rewrite", str(i), s, a, B.is_refusal(a, s), True) for i, (s, a) in enumerate(pairs)]
+    table = spark.createDataFrame(rows + rows[-30:], "op string, pair_id string, source string, plain string, refused boolean, open boolean")
+    wanted = B.learn_refusals(pairs)
+    phrases, told = B.learn_from(table)
+    every, few = B.automaton_of(wanted), B.automaton_of(phrases)
+    assert set(phrases) <= set(wanted) and len(phrases) > 3
+    assert all(B.covered(a, every) == B.covered(a, few) for _, a in pairs)
+    assert {r.pair_id for r in told.collect()} == {str(i) for i, (s, a) in enumerate(pairs) if not B.is_refusal(a, s) and B.is_refusal(a, s, every)} != set()
+    assert B.learn_from(table.where("not refused")) == ([], None)
+
+
 def test_copied_share():
     random.seed(8)
     for _ in range(200):
