@@ -161,6 +161,26 @@ def test_captions_meet_speakers_by_block(spark):
     assert "blk" in join and "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_turns_leave_no_caption_out(spark, block):
+    """Captions with the same place, places below 0 and far apart, long labels, digits of other scripts, and
+    items of several files."""
+    said = [
+        (10, 1, -5, "Ann: before the start"), (11, 1, -4, "and on"), (12, 1, 7, "Bob: hello"), (13, 1, 7, "Ann: hello too"), (13, 1, 7, "Ann: hello too"), (14, 1, 7, "so it goes"), (15, 1, 8, "it goes on"),
+        (16, 1, 9, "Doña Maria del Carmen de la Cruz: buenas"), (17, 1, 10, "[ " + "Wilhelmina " * 6 + "Velm ] hello"), (18, 1, 11, "المتحدث ٢: نعم"), (19, 1, 10**12, "ВЕЛМ сказал: нет"),
+    ]
+    given = spark.createDataFrame(said, "cue_id bigint, file_id bigint, cue_index bigint, content string")
+    names = ["Ann", "Bob", "B. Other", "Doña Maria del Carmen de la Cruz", "Wilhelmina " * 6 + "Velm"]
+    speakers = spark.createDataFrame([(1, f"SPEAKER_{i:02}", name) for i, name in enumerate(names)] + [(2, "SPEAKER_00", "Bob"), (3, "SPEAKER_07", "Ann")], SPEAKERS)
+    segments = [{"start_s": 1.0, "end_s": 2.0, "text": "Ann: hi"}, {"start_s": 3.0, "end_s": 4.0, "text": "Bob: no"}]
+    transcripts = spark.createDataFrame([(7, 1, segments), (7, 2, segments), (7, 3, segments), (7, None, segments)], "transcript_id bigint, file_id bigint, segments array<struct<start_s: double, end_s: double, text: string>>")
+    got = speaker_turns(captions_of(given, transcripts), speakers, block=block).collect()
+    assert sorted((r.first_no, r.last_no, r.speaker, r.n_captions) for r in got if r.item_type == "file") == [
+        (-5, -4, "SPEAKER_00", 2), (7, 7, "SPEAKER_01", 1), (7, 8, "SPEAKER_00", 3), (9, 9, "SPEAKER_03", 1), (10, 10, "SPEAKER_04", 1), (11, 10**12, "SPEAKER_02", 2),
+    ]
+    assert sorted((r.first_no, r.last_no, r.speaker) for r in got if r.item_type == "transcript") == [(1, 1, "SPEAKER_00"), (1, 2, "SPEAKER_00"), (1, 2, "SPEAKER_07"), (2, 2, "SPEAKER_01")]
+
+
 def test_turns_of_transcripts(spark):
     segments = [{"start_s": 9.0, "end_s": 9.5, "text": "and back"}, {"start_s": 1.0, "end_s": 2.0, "text": "Ann: hi"}, {"start_s": 3.0, "end_s": 4.0, "text": None}, {"start_s": 5.0, "end_s": 6.0, "text": "维尔姆：你好"}]
     rows = [(7, 1, segments), (7, 1, segments), (None, 1, segments), (8, 1, None)]
